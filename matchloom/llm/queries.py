@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import decontaminate
+from matchloom.llm import decontaminate, langid, quality_classifier
 from matchloom.llm.common import read
 
 
@@ -12,7 +12,15 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op7_decontaminate,)}
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.query(read(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op5_quality, op7_decontaminate, op8_langid)}
 
 SQL: dict[str, str] = {
     "op7_decontaminate": r"""
