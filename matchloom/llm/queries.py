@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import decontaminate, langid, quality_classifier
+from matchloom.llm import decontaminate, langid, quality_classifier, secrets
 from matchloom.llm.common import read
 
 
@@ -20,7 +20,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op5_quality, op7_decontaminate, op8_langid)}
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.secrets(read(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op5_quality, op6_secrets, op7_decontaminate, op8_langid)}
 
 SQL: dict[str, str] = {
     "op7_decontaminate": r"""
