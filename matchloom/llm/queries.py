@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import decontaminate, langid, quality_classifier, secrets
+from matchloom.llm import decontaminate, langid, pieces, quality_classifier, secrets
 from matchloom.llm.common import read
 
 
@@ -24,7 +24,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secrets(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op5_quality, op6_secrets, op7_decontaminate, op8_langid)}
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(read(spark, sf_dir, "documents"), pieces.default_model())
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op5_quality, op6_secrets, op7_decontaminate, op8_langid)}
 
 SQL: dict[str, str] = {
     "op7_decontaminate": r"""
