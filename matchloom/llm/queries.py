@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import decontaminate, langid, pieces, quality_classifier, secrets
+from matchloom.llm import decontaminate, langid, pieces, quality_classifier, quality_rules, secrets
 from matchloom.llm.common import read
 
 
@@ -28,7 +28,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(read(spark, sf_dir, "documents"), pieces.default_model())
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op5_quality, op6_secrets, op7_decontaminate, op8_langid)}
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op4_quality_rules, op5_quality, op6_secrets, op7_decontaminate, op8_langid)}
 
 SQL: dict[str, str] = {
     "op7_decontaminate": r"""
