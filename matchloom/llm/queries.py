@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import decontaminate, langid, pieces, quality_classifier, quality_rules, secrets
+from matchloom.llm import decontaminate, html_text, langid, pieces, quality_classifier, quality_rules, secrets
 from matchloom.llm.common import read
 
 
@@ -32,7 +32,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op4_quality_rules, op5_quality, op6_secrets, op7_decontaminate, op8_langid)}
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_html_text, op4_quality_rules, op5_quality, op6_secrets, op7_decontaminate, op8_langid)}
 
 SQL: dict[str, str] = {
     "op7_decontaminate": r"""
