@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import decontaminate, html_text, langid, pieces, quality_classifier, quality_rules, secrets
+from matchloom.llm import decontaminate, html_text, langid, pieces, quality_classifier, quality_rules, secrets, substring_dedup, suffix_dedup
 from matchloom.llm.common import read
 
 
@@ -36,9 +36,26 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_html_text, op4_quality_rules, op5_quality, op6_secrets, op7_decontaminate, op8_langid)}
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.query(read(spark, sf_dir, "documents"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.query(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_html_text, op4_quality_rules, op5_quality, op6_secrets, op7_decontaminate, op8_langid, op9_suffix_dedup)}
 
 SQL: dict[str, str] = {
+    "op2_substring_dedup": r"""
+        with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+        win as (select doc_id, k, hash(w[k:k + 12]) as h, md5(array_to_string(w[k:k + 12], ' ')) as s from (select doc_id, w, unnest(range(1, len(w) - 11)) as k from d)),
+        low as (select h, s, min(doc_id) as first from win group by h, s having min(doc_id) < max(doc_id)),
+        gone as (select doc_id, list(distinct p) as g from (select doc_id, unnest(range(k, k + 13)) as p from win join low using (h, s) where doc_id > first) group by doc_id)
+        select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(g), 0) as bigint) as n_removed,
+               sha256(array_to_string(list_filter(w, lambda x, i: not list_contains(coalesce(g, []), i)), ' ')) as kept_sha256
+        from d left join gone using (doc_id)
+    """,
     "op7_decontaminate": r"""
         with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
         b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
