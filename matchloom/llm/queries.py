@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import decontaminate, html_text, langid, pieces, quality_classifier, quality_rules, secrets, substring_dedup, suffix_dedup
+from matchloom.llm import decontaminate, html_text, jaccard_join, langid, pieces, quality_classifier, quality_rules, secrets, substring_dedup, suffix_dedup
 from matchloom.llm.common import read
 
 
@@ -44,7 +44,11 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.query(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_html_text, op4_quality_rules, op5_quality, op6_secrets, op7_decontaminate, op8_langid, op9_suffix_dedup)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_html_text, op4_quality_rules, op5_quality, op6_secrets, op7_decontaminate, op8_langid, op9_suffix_dedup, op10_jaccard_join)}
 
 SQL: dict[str, str] = {
     "op2_substring_dedup": r"""
