@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows that travel to a Python worker at once; keeps a worker's memory small.
 BATCH_ROWS = 1000
@@ -37,7 +38,7 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with a function of one batch that yields batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,6 +49,12 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.Record
     return df.mapInArrow(run, schema)
 
 
+def filter_batches(df: DataFrame, keep: Callable[[pa.RecordBatch], Iterable[bool]]) -> DataFrame:
+    """The rows of ``df``, all columns as they are, for which ``keep`` is true."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return map_batches(df, lambda batch: [batch.filter(pa.array([bool(k) for k in keep(batch)], pa.bool_()))], df.schema)
+
+
 def raw_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; a null is empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

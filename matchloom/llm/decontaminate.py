@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import map_batches, raw_bytes, texts
+from matchloom.llm.common import filter_batches, map_batches, raw_bytes, texts
 
 #: Bytes of a word: digits, small letters and all of a non-ASCII character; A-Z become small.
 _WORD = bytes(
@@ -219,6 +219,48 @@ def _hits(docs: DataFrame, index: Prefixes) -> DataFrame:
     return map_batches(docs, run, "doc_id long, text_key long, n_words long, hits array<long>, items array<string>")
 
 
+def _indexes(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, shingle: int, part_bytes: int) -> list[Prefixes]:
+    """Prefix tokens of each part of the benchmark."""
+    bench = benchmark.select(
+        benchmark[item_col].cast("string").alias("item"), benchmark[item_text_col].cast("string").alias("text")
+    ).where("item is not null and text is not null")
+    size = bench.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
+    parts = max(1, -(-2 * size // part_bytes)) if size > part_bytes else 1
+    if parts > 1:
+        bench = bench.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)))
+    out = []
+    for k in range(parts):
+        rows = bench.where(F.col("part") == k) if parts > 1 else bench
+        windows = Windows.build([(r["item"], r["text"].encode()) for r in rows.toLocalIterator()], window, shingle)
+        out.append(windows.index(_counts(docs, windows) if windows.ids else {}))
+    return out
+
+
+def clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = 10,
+    shingle: int = 5,
+    part_bytes: int = 32 << 20,
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no window of the benchmark."""
+    own = docs.select(docs[text_col].cast("string").alias("text"))
+    for index in _indexes(own, benchmark, item_col, item_text_col, window, shingle, part_bytes):
+
+        def free(batch: pa.RecordBatch, index: Prefixes = index) -> list[bool]:
+            ids, sizes = _laid_out(pa.record_batch([batch.column(text_col)], names=["text"]), index.vocabulary)
+            start, _ = index.search(ids, np.repeat(np.cumsum(sizes), sizes))
+            hit = set(np.repeat(np.arange(len(sizes)), sizes)[start].tolist())
+            return [k not in hit for k in range(len(sizes))]
+
+        docs = filter_batches(docs, free)
+    return docs
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -233,18 +275,8 @@ def decontaminate(
 ) -> DataFrame:
     """doc_id, text_key, n_words, hits array<long> (positions of the hit words), items array<string> of each document."""
     docs = texts(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
-    bench = benchmark.select(
-        benchmark[item_col].cast("string").alias("item"), benchmark[item_text_col].cast("string").alias("text")
-    ).where("item is not null and text is not null")
-    size = bench.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
-    parts = max(1, -(-2 * size // part_bytes)) if size > part_bytes else 1
-    if parts > 1:
-        bench = bench.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)))
-    found = []
-    for k in range(parts):
-        rows = bench.where(F.col("part") == k) if parts > 1 else bench
-        windows = Windows.build([(r["item"], r["text"].encode()) for r in rows.toLocalIterator()], window, shingle)
-        found.append(_hits(docs, windows.index(_counts(docs, windows) if windows.ids else {})))
+    found = [_hits(docs, index) for index in _indexes(docs, benchmark, item_col, item_text_col, window, shingle, part_bytes)]
+    parts = len(found)
     if parts == 1:
         return found[0]
     out = found[0]

@@ -32,7 +32,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.llm.common import texts, written
@@ -469,3 +469,15 @@ def join(
     lowest = first.groupBy("label").agg(F.min("low").alias("component"))
     by_set = first.join(lowest, "label").select("print", "component")
     return each.join(by_set, "print", "left").select("doc_id", "n_shingles", F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of one document of each group of linked ones: that with the smallest id.
+
+    Rows with equal id and text are one document; a document without words stays.
+    """
+    found = join(docs, id_col=id_col, text_col=text_col, **options)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
+    rows = docs.join(stay, docs[id_col].cast("long").eqNullSafe(stay["_stay"]), "left_semi")
+    same = Window.partitionBy(rows[id_col], F.xxhash64(rows[text_col])).orderBy(rows[id_col])
+    return rows.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").drop("_copy")

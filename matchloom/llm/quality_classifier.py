@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import crc_mod, map_batches, texts
+from matchloom.llm.common import crc_mod, filter_batches, map_batches, texts
 from matchloom.llm.langid import sample
 from matchloom.llm.subword import Config, Model, train
 
@@ -42,6 +42,11 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     return map_batches(texts(docs, id_col, text_col), run, "doc_id long, score double")
 
 
+def keep(docs: DataFrame, model: Model, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least ``least``."""
+    return filter_batches(docs, lambda batch: model.probabilities([x or "" for x in batch.column(text_col).to_pylist()])[:, 1] >= least)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows of query op5_quality whose labels no model learns."""
     return crc_mod(doc_id, 3) == 1

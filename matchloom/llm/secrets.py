@@ -83,11 +83,12 @@ def listed(found: list) -> str:
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
-    """doc_id, owner, repo, found: the candidates of every row, with the hash of each value."""
+    """doc_id, text_key (hash of the text), owner, repo, found: the candidates of every row, with the hash of each value."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     rows = docs.select(
         docs[id_col].cast("long").alias("doc_id"),
         docs[text_col].cast("string").alias("text"),
+        F.xxhash64(docs[text_col].cast("string")).alias("text_key"),
         docs[owner_col].cast("string").alias("owner"),
         docs[repo_col].cast("string").alias("repo"),
     )
@@ -101,13 +102,13 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own
             for text in batch.column("text").to_pylist()
         ]
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("looks_random", pa.bool_())]))
-        yield pa.record_batch([batch.column("doc_id"), batch.column("owner"), batch.column("repo"), pa.array(found, kind)], names=["doc_id", "owner", "repo", "found"])
+        yield pa.record_batch([batch.column("doc_id"), batch.column("text_key"), batch.column("owner"), batch.column("repo"), pa.array(found, kind)], names=["doc_id", "text_key", "owner", "repo", "found"])
 
-    return map_batches(rows, run, f"doc_id long, owner string, repo string, found array<{SPAN}>")
+    return map_batches(rows, run, f"doc_id long, text_key long, owner string, repo string, found array<{SPAN}>")
 
 
 def secrets(docs: DataFrame, *, max_owners: int = 1, **columns: str) -> DataFrame:
-    """doc_id and spans array<struct<kind, start, end, value, owners, repos, live>> of every row.
+    """doc_id, text_key and spans array<struct<kind, start, end, value, owners, repos, live>> of every row.
 
     ``value`` is a hash; ``live``: at most ``max_owners`` owners hold the value and it looks random.
     """
@@ -122,7 +123,7 @@ def secrets(docs: DataFrame, *, max_owners: int = 1, **columns: str) -> DataFram
     judged = judged.groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end", "value", "owners", "repos", "live"))).alias("spans")
     )
-    return rows.select("row", "doc_id").join(judged, "row", "left").select("doc_id", F.coalesce("spans", F.array()).alias("spans"))
+    return rows.select("row", "doc_id", "text_key").join(judged, "row", "left").select("doc_id", "text_key", F.coalesce("spans", F.array()).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -137,3 +138,28 @@ def digest(found: DataFrame) -> DataFrame:
         text(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
     )
+
+
+def redact(docs: DataFrame, *, mark: str = "[SECRET]", max_owners: int = 1, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
+    """The rows of ``docs`` with every live credential replaced by ``mark``; widely copied examples stay.
+
+    Spans that overlap are replaced together.
+    """
+    found = secrets(docs, max_owners=max_owners, id_col=id_col, text_col=text_col, **columns)
+    live = found.select("doc_id", "text_key", F.filter("spans", lambda s: s["live"]).alias("live")).where(F.size("live") > 0)
+    live = live.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.transform("live", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"))).alias("_live")).distinct()
+    rows = docs.withColumn("_text_key", F.xxhash64(docs[text_col].cast("string")))
+    rows = rows.join(live, rows[id_col].cast("long").eqNullSafe(live["_id"]) & (rows["_text_key"] == live["_key"]), "left")
+    # from the last span to the first, so places stay right; acc: the text, and where the text after it begins
+    start = F.struct(F.col(text_col).cast("string").alias("t"), F.lit((1 << 31) - 1).alias("from"))
+
+    def replace(acc, s):
+        end = F.least(s["b"], acc["from"])
+        inside = s["b"] > acc["from"]
+        tail = F.substr(acc["t"], F.when(inside, acc["from"] + len(mark) + 1).otherwise(s["b"] + 1))
+        head = F.substr(acc["t"], F.lit(1), s["a"])
+        return F.struct(F.concat(head, F.lit(mark), tail).alias("t"), F.least(s["a"], end).alias("from"))
+
+    text = F.aggregate(F.reverse(F.array_sort("_live")), start, replace, lambda acc: acc["t"])
+    new = F.when(F.col("_live").isNull(), F.col(text_col)).otherwise(text)
+    return rows.select(*[new.alias(c) if c == text_col else rows[c] for c in docs.columns])
