@@ -33,8 +33,8 @@ def seconds(ticks: Column, rate: float) -> Column:
 
 def clock(ticks: Column, rate: float) -> Column:
     """Ticks as m:ss."""
-    s = F.floor(ticks / F.lit(float(rate))).cast("long")
-    return F.concat((s - s % 60).cast("double").__truediv__(F.lit(60.0)).cast("long").cast("string"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))
+    s = F.floor(ticks / F.lit(float(rate)))
+    return F.concat(F.floor(s / 60).cast("string"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))
 
 
 def rounded(c: Column, digits: int) -> Column:
@@ -71,7 +71,7 @@ def title(template: str, columns: Mapping[str, Column]) -> Column:
 
 def coerced(text: Column) -> dict[str, Column]:
     """A text as whole number, number and boolean, whichever it can be read as."""
-    return {"int": F.expr("null").cast("long") if text is None else text.try_cast("long"), "float": text.try_cast("double"), "bool": text.try_cast("boolean")}
+    return {"int": text.try_cast("long"), "float": text.try_cast("double"), "bool": text.try_cast("boolean")}
 
 
 def source_kind(server: Column, client: Column) -> Column:

@@ -1 +1,6 @@
-"""Part of matchloom."""
+"""Named queries over the tables of a data folder."""
+
+from matchloom.plans import event_queries
+from matchloom.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "event_queries"]
