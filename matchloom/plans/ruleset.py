@@ -44,10 +44,12 @@ class Planner:
 
     ``log``: match_id, seq, tick, event, round_number and the columns that the catalog names.
     ``players``: match_id, player, and any further columns, which go to the tables.
+    ``player_rounds``: match_id, player, round_number and what is known of a player in a round, if anything.
     """
 
-    def __init__(self, log: DataFrame, players: DataFrame, catalog: Catalog, tick_rate: float = 64.0):
+    def __init__(self, log: DataFrame, players: DataFrame, catalog: Catalog, tick_rate: float = 64.0, player_rounds: DataFrame | None = None):
         self.log, self.players, self.catalog, self.rate = log, players, catalog, tick_rate
+        self.player_rounds = player_rounds
         self.done: dict[str, tuple[Ruleset, Report]] = {}
 
     def run(self, rulesets: list[Ruleset]) -> dict[str, Report]:
@@ -275,8 +277,8 @@ class _Plan:
         if found is not None:
             by_round = by_round.join(found, [*self.keys, ROUND], "left")
         by_round = self._zeros(by_round)
-        if self.each and {f"{n}" for n in ("survived", "traded")} <= set(log.columns):
-            by_round = by_round.join(log.groupBy(MATCH).agg(F.first("survived")), MATCH, "left")
+        if self.each and self.p.player_rounds is not None:
+            by_round = by_round.join(self.p.player_rounds, [*self.keys, ROUND], "left")
         for s in r.stats.values():
             if s.per == "round" and (s.kind == "compute" or s.kind == "flag" and s.value is not None):
                 by_round = by_round.withColumn(s.id, self._formula(s, by_round))
