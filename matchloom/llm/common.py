@@ -61,6 +61,13 @@ def raw_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def slots(spark: SparkSession) -> int:
+    """Slots that packed arrays are dealt to: some more than shuffle partitions, so that
+    those of small clusters stay small, while rows (at most slots squared) stay near the
+    number of blocks that any shuffle has."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) + 128
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import texts, written
+from matchloom.llm.common import slots, texts, written
 from matchloom.llm.windows import _bytes, _mix, _pack, _unpack
 
 _SCHEMA = pa.schema([("slot", pa.int32()), ("body", pa.binary())])
@@ -420,8 +420,7 @@ def join(
     and is its own component; a null id counts only where no other reaches it, and is then null.
     """
     docs = texts(docs, id_col, text_col)
-    spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 4
+    parts = slots(docs.sparkSession)
     j = Join(size, percent, parts, few)
     sets = docs.select("text").mapInArrow(j.sets, "slot int, print binary, raw binary")
     by = lambda df: df.groupBy("slot")
@@ -477,7 +476,9 @@ def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Rows with equal id and text are one document; a document without words stays.
     """
     found = join(docs, id_col=id_col, text_col=text_col, **options)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    rows = docs.join(stay, docs[id_col].cast("long").eqNullSafe(stay["_stay"]), "left_semi")
-    same = Window.partitionBy(rows[id_col], F.xxhash64(rows[text_col])).orderBy(rows[id_col])
-    return rows.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").drop("_copy")
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay")).distinct()
+    # the row as one column, so that no name of it can clash
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("text"))
+    rows = rows.join(stay, rows["id"].eqNullSafe(stay["stay"]), "left_semi")
+    same = Window.partitionBy("id", "text").orderBy("id")
+    return rows.withColumn("copy", F.row_number().over(same)).where("copy = 1").select(*[F.col("row")[c].alias(c) for c in docs.columns])

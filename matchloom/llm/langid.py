@@ -12,6 +12,7 @@ languages are not learned from.  Without labelled rows all texts are ``und``.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -49,7 +50,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     def run(batch: pa.RecordBatch):
         text = [x or "" for x in batch.column("text").to_pylist()]
         known = [bool(model.classes and _LETTER.search(x)) for x in text]
-        p = model.probabilities([x.lower() if k else "" for x, k in zip(text, known, strict=True)])
+        p = model.probabilities([x.lower() if k else "" for x, k in zip(text, known, strict=True)]) if model.classes else np.zeros((len(text), 1))
         best = p.argmax(1)
         score = [round(float(p[i, b]), 9) if known[i] else 0.0 for i, b in enumerate(best)]
         yield pa.record_batch(

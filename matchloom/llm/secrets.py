@@ -147,11 +147,13 @@ def redact(docs: DataFrame, *, mark: str = "[SECRET]", max_owners: int = 1, id_c
     """
     found = secrets(docs, max_owners=max_owners, id_col=id_col, text_col=text_col, **columns)
     live = found.select("doc_id", "text_key", F.filter("spans", lambda s: s["live"]).alias("live")).where(F.size("live") > 0)
-    live = live.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.transform("live", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"))).alias("_live")).distinct()
-    rows = docs.withColumn("_text_key", F.xxhash64(docs[text_col].cast("string")))
-    rows = rows.join(live, rows[id_col].cast("long").eqNullSafe(live["_id"]) & (rows["_text_key"] == live["_key"]), "left")
+    live = live.select("doc_id", "text_key", F.transform("live", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"))).alias("live")).distinct()
+    # the row as one column, so that no name of it can clash
+    text = docs[text_col].cast("string")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    rows = rows.join(live, rows["id"].eqNullSafe(live["doc_id"]) & (rows["key"] == live["text_key"]), "left")
     # from the last span to the first, so places stay right; acc: the text, and where the text after it begins
-    start = F.struct(F.col(text_col).cast("string").alias("t"), F.lit((1 << 31) - 1).alias("from"))
+    start = F.struct(F.col("text").alias("t"), F.lit((1 << 31) - 1).alias("from"))
 
     def replace(acc, s):
         end = F.least(s["b"], acc["from"])
@@ -160,6 +162,6 @@ def redact(docs: DataFrame, *, mark: str = "[SECRET]", max_owners: int = 1, id_c
         head = F.substr(acc["t"], F.lit(1), s["a"])
         return F.struct(F.concat(head, F.lit(mark), tail).alias("t"), F.least(s["a"], end).alias("from"))
 
-    text = F.aggregate(F.reverse(F.array_sort("_live")), start, replace, lambda acc: acc["t"])
-    new = F.when(F.col("_live").isNull(), F.col(text_col)).otherwise(text)
-    return rows.select(*[new.alias(c) if c == text_col else rows[c] for c in docs.columns])
+    blotted = F.aggregate(F.reverse(F.array_sort("live")), start, replace, lambda acc: acc["t"])
+    new = F.when(F.col("live").isNull(), F.col("text")).otherwise(blotted)
+    return rows.select(*[(new if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
