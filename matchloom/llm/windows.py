@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import NO_ID, texts
+from matchloom.llm.common import NO_ID, slots, texts
 
 #: Tokens handled at once, tokens whose anchors a task packs together, longest run of windows in one string.
 _STRETCH, _FLUSH, _RUN = 1 << 20, 1 << 23, 256
@@ -474,7 +474,7 @@ def covered(docs: DataFrame, t: Tokens, order: Callable, finish: Callable, schem
     ``docs``: doc_id, text.  A null id counts as larger than all others.
     """
     docs = texts(docs)
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))) * 4
+    parts = slots(docs.sparkSession)
     buckets = parts
     names = [c.split(" ")[0] for c in schema.split(", ")]
     anchors = docs.mapInArrow(_anchor_rows(t, buckets, parts), _ROWS)
