@@ -13,7 +13,7 @@ third of all pages is spread like any other; what a task holds is a block of
 ``BLOCK`` neighbours.  Lines are aligned by 64-bit hashes.
 
 A null html is empty and has an empty text; a null or unreadable URL has an
-empty host and path; repeated rows get the same text each.
+empty host and path; rows that agree in id, URL and html are one page, whose text each gets.
 """
 
 from __future__ import annotations
@@ -168,6 +168,10 @@ def _near(a: str, b: str) -> int:
     return n
 
 
+def _hash(line: str) -> int:
+    return xxhash.xxh64_intdigest(line) - (1 << 63)
+
+
 def _shared(block: pd.DataFrame) -> pd.DataFrame:
     """Lines of each own page of a block that its nearest neighbour has too."""
     block = block.sort_values("place", kind="stable").reset_index(drop=True)
@@ -179,9 +183,12 @@ def _shared(block: pd.DataFrame) -> pd.DataFrame:
         if other and len(hashes[i]):
             k = max(other, key=lambda k: (_near(path[i], path[k]), -k))
             if found := common(hashes[i], hashes[k]):
-                rows.append(block["row"][i])
+                rows.append(i)
                 shared.append(found)
-    return pd.DataFrame({"row": pd.Series(rows, dtype="int64"), "shared": pd.Series(shared, dtype="object")})
+    out = block.iloc[rows][["page_id", "url", "key"]].reset_index(drop=True)
+    out.columns = ["_id", "_url", "_key"]
+    out["_id"] = out["_id"].astype("Int64")
+    return out.assign(shared=pd.Series(shared, dtype="object"))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -191,30 +198,22 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     pages = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html"))
 
     def cut(batch: pa.RecordBatch):
-        found = [lines(x or "") for x in batch.column("html").to_pylist()]
-        yield pa.record_batch(
-            [
-                batch.column("page_id"),
-                batch.column("url"),
-                pa.array([[t for t, _ in x] for x in found], pa.list_(pa.string())),
-                pa.array([[m for _, m in x] for x in found], pa.list_(pa.bool_())),
-                pa.array([[xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in x] for x in found], pa.list_(pa.int64())),
-            ],
-            names=["page_id", "url", "lines", "main", "hashes"],
-        )
+        found = [[_hash(t) for t, _ in lines(x or "")] for x in batch.column("html").to_pylist()]
+        yield pa.record_batch([batch.column("page_id"), batch.column("url"), batch.column("key"), pa.array(found, pa.list_(pa.int64()))], names=["page_id", "url", "key", "hashes"])
 
-    cut_up = written(
-        map_batches(pages, cut, "page_id long, url string, lines array<string>, main array<boolean>, hashes array<long>").withColumn("row", F.monotonically_increasing_id())
-    )
+    pages = pages.withColumn("key", F.xxhash64("html"))
+    # only hashes of lines are dealt and sorted; a page is cut up again where its text is made
+    cut_up = map_batches(pages, cut, "page_id long, url string, key long, hashes array<long>").dropDuplicates(["page_id", "url", "key"])
     url = F.coalesce("url", F.lit(""))
     keys = cut_up.select(
-        "row",
         "page_id",
+        "url",
+        "key",
         F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
         F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^#]*)", 1).alias("path"),
         "hashes",
     )
-    order = ["host", "path", "page_id", "row"]
+    order = ["host", "path", "page_id", "url", "key"]
     # a global order: range partitions, then each row's place in its partition
     spread = written(keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
     spread = spread.withColumn("part", F.shiftright("at", 33)).withColumn("at", F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
@@ -226,13 +225,22 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     table = spark.createDataFrame(starts, "part long, start long")
     placed = spread.join(F.broadcast(table), "part").withColumn("place", F.col("start") + F.col("at"))
     near = F.array_distinct(F.transform(F.array(F.lit(0), F.lit(-1), F.lit(1)), lambda d: F.floor((F.col("place") + d) / BLOCK)))
-    dealt = placed.select("row", "host", "path", "hashes", "place", F.explode(near).alias("block")).withColumn("own", F.col("block") == F.floor(F.col("place") / BLOCK))
-    shared = dealt.groupBy("block").applyInPandas(_shared, "row long, shared array<long>")
-    joined = cut_up.join(shared, "row", "left")
-    has_main = F.exists("main", lambda m: m)
-    gone = lambda i: F.coalesce(F.array_contains("shared", i.cast("long")), F.lit(False))
-    kept = F.when(has_main, F.filter("lines", lambda x, i: F.get("main", i))).otherwise(F.filter("lines", lambda x, i: ~gone(i)))
-    deleted = F.when(has_main, F.size(F.filter("lines", lambda x, i: gone(i) & ~F.get("main", i)))).otherwise(F.coalesce(F.size("shared"), F.lit(0)))
-    return joined.select("page_id", "url", F.array_join(kept, "\n").alias("text"), deleted.cast("long").alias("n_shared")).withColumn(
-        "n_chars", F.char_length("text").cast("long")
-    )
+    dealt = placed.select("page_id", "url", "key", "host", "path", "hashes", "place", F.explode(near).alias("block")).withColumn("own", F.col("block") == F.floor(F.col("place") / BLOCK))
+    shared = dealt.groupBy("block").applyInPandas(_shared, "_id long, _url string, _key long, shared array<long>")
+    same = pages["page_id"].eqNullSafe(shared["_id"]) & pages["url"].eqNullSafe(shared["_url"]) & (pages["key"] == shared["_key"])
+    joined = pages.join(shared, same, "left").select("page_id", "url", "html", "shared")
+
+    def close(batch: pa.RecordBatch):
+        text, deleted = [], []
+        for page, gone in zip(batch.column("html").to_pylist(), batch.column("shared").to_pylist(), strict=True):
+            found, gone = lines(page or ""), set(gone or ())
+            main = any(m for _, m in found)
+            own = [t for k, (t, m) in enumerate(found) if m or not main and k not in gone]
+            text.append("\n".join(own))
+            deleted.append(sum(not found[k][1] for k in gone))
+        yield pa.record_batch(
+            [batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64()), pa.array(deleted, pa.int64())],
+            names=["page_id", "url", "text", "n_chars", "n_shared"],
+        )
+
+    return map_batches(joined, close, "page_id long, url string, text string, n_chars long, n_shared long")
