@@ -19,7 +19,7 @@ from matchloom.llm.common import crc_mod, filter_batches, map_batches, texts
 from matchloom.llm.langid import sample
 from matchloom.llm.subword import Config, Model, train
 
-CONFIG = Config(pairs=True, ngrams=(1, 2, 3))
+CONFIG = Config(pairs=True, ngrams=(2, 3))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_where: Column | None = None, config: Config = CONFIG) -> Model:

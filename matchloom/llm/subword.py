@@ -14,7 +14,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import xxhash
 
 #: Words that a worker remembers before it starts anew.
 _REMEMBER = 200_000
@@ -36,11 +35,30 @@ class Config:
     seed: int = 7
 
 
-def _features(word: str, c: Config) -> list[int]:
-    """Buckets of a word: the word itself, then its n-grams."""
-    marked = f"<{word}>"
-    raw = [marked] + [marked[k : k + n] for n in c.ngrams for k in range(len(marked) - n + 1)]
-    return [xxhash.xxh32_intdigest(x) % c.buckets for x in raw]
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def _features(words: list[str], c: Config) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Buckets of words: for the words themselves and each length of n-grams an array by word
+    and place (-1: no n-gram starts there), then where each word starts, and its length."""
+    sizes = np.array([len(w) for w in words], np.int64) + 2
+    chars = np.frombuffer(f"<{'><'.join(words)}>".encode("utf-32-le"), "<u4").astype(np.uint64)
+    end = np.cumsum(sizes)
+    first = end - sizes
+    place = np.arange(len(chars)) - np.repeat(first, sizes)
+    left = np.repeat(end, sizes) - np.arange(len(chars))
+    whole = np.add.reduceat(_mixed(chars + (place.astype(np.uint64) << np.uint64(21))), first)
+    own = np.full(len(chars), -1, np.int64)
+    own[first] = (_mixed(whole) % np.uint64(c.buckets)).astype(np.int64)
+    out = [own]
+    for n in c.ngrams:
+        key = np.full(len(chars), n, np.uint64)
+        for k in range(n):
+            key[: len(chars) - k] = _mixed(key[: len(chars) - k] + (chars[k:] << np.uint64(3)))
+        out.append(np.where(left >= n, (key % np.uint64(c.buckets)).astype(np.int64), -1))
+    return out, first, sizes
 
 
 def _pair(a: np.ndarray, b: np.ndarray, c: Config) -> np.ndarray:
@@ -50,19 +68,15 @@ def _pair(a: np.ndarray, b: np.ndarray, c: Config) -> np.ndarray:
     return at
 
 
-def _counted(text: str, c: Config, known: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def _counted(text: str, c: Config) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and how often each occurs."""
-    out: list[int] = []
-    own = []
-    for w in text.split():
-        f = known.get(w)
-        if f is None:
-            f = known[w] = _features(w, c)
-        out += f
-        own.append(f[0])
-    at = np.array(out, np.int64)
+    words = text.split()
+    if not words:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    features, first, _ = _features(words, c)
+    own = features[0][first]
+    at = np.concatenate([f[f >= 0] for f in features])
     if c.pairs and len(own) > 1:
-        own = np.array(own, np.int64)
         at = np.concatenate((at, _pair(own[:-1], own[1:], c)))
     return np.unique(at, return_counts=True)
 
@@ -84,29 +98,38 @@ class Model:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_known": {}}
 
+    def _scored(self, words: list[str]) -> np.ndarray:
+        """Class scores of each word summed over its vectors, their number, and the word's own bucket."""
+        features, first, _ = _features(words, self.config)
+        out = np.zeros((len(words), len(self.classes) + 2))
+        table = np.concatenate((self.table, np.zeros((1, self.table.shape[1]), self.table.dtype)))  # -1: nothing
+        for f in features:
+            out[:, :-2] += np.add.reduceat(table[f].astype(np.float64), first, axis=0)
+            out[:, -2] += np.add.reduceat((f >= 0).astype(np.float64), first)
+        out[:, -1] = features[0][first]
+        return out
+
     def probabilities(self, texts: list[str]) -> np.ndarray:
         """Class probabilities of each text; a text without words has those of the bias."""
         c, k = self.config, len(self.classes)
         known = self._known
-        if len(known.get("at", ())) > _REMEMBER or not known:
+        if not known or len(known["at"]) > _REMEMBER:
             known.clear()
-            known |= {"at": {}, "rows": [], "matrix": np.empty((0, k + 2))}
-        at, rows = known["at"], known["rows"]
+            known |= {"at": {}, "matrix": np.empty((0, k + 2))}
+        at = known["at"]
         ids: list[int] = []
-        sizes = []
+        sizes, new = [], []
         for text in texts:
             n = len(ids)
             for w in text.split():
                 i = at.get(w)
                 if i is None:
-                    f = _features(w, c)
                     at[w] = i = len(at)
-                    rows.append((*self.table[f].sum(0, dtype=np.float64).tolist(), len(f), f[0]))
+                    new.append(w)
                 ids.append(i)
             sizes.append(len(ids) - n)
-        if rows:
-            known["matrix"] = np.concatenate((known["matrix"], np.array(rows, np.float64)))
-            rows.clear()
+        if new:
+            known["matrix"] = np.concatenate((known["matrix"], *(self._scored(new[i : i + 20_000]) for i in range(0, len(new), 20_000))))
         sizes = np.array(sizes, np.int64)
         out = np.zeros((len(texts), k + 1))
         if ids:
@@ -132,11 +155,9 @@ def train(rows: list[tuple[str, object]], classes: list, c: Config) -> Model:
     Without rows the model knows its classes only, all alike.
     """
     rng = np.random.default_rng(c.seed)
-    known: dict[str, list[int]] = {}
     y = {label: k for k, label in enumerate(classes)}
-    data = [(*_counted(text, c, known), y[label]) for text, label in rows]
+    data = [(*_counted(text, c), y[label]) for text, label in rows]
     data = [d for d in data if len(d[0])]
-    del known
     k = max(1, len(classes))
     vectors = ((rng.random((c.buckets, c.dim)) - 0.5) / c.dim).astype(np.float32)
     layer, bias = (rng.standard_normal((c.dim, k)) / c.dim).astype(np.float32), np.zeros(k, np.float32)
@@ -158,7 +179,7 @@ def train(rows: list[tuple[str, object]], classes: list, c: Config) -> Model:
             layer -= c.rate * rate * np.outer(mean, grad)
             bias -= 0.1 * c.rate * rate * grad
             vectors[at] -= (c.vector_rate * rate) * share[:, None] * back
-    table = vectors @ layer
+    table = vectors @ layer if fit else np.zeros((c.buckets, k), np.float32)
     model = Model(list(classes), c, table, bias.astype(np.float64))
     if held:
         logits = np.array([(count / (count.sum() + c.prior)) @ table[at] + bias for at, count, _ in (data[i] for i in held)])
