@@ -137,3 +137,27 @@ def test_ruleset(match):
     guns = {(r["player"], r["key"]): r["value"] for r in reports["base"].keyed["guns"].collect()}
     assert guns == {(1, "ak47"): 1, (7, "ak47"): 1, (2, "ak47"): 1, (2, "deagle"): 1, (6, "ak47"): 2}
     assert {r["player"]: r["half"] for r in reports["next"].game.select("player", F.col("half")).collect()}[9] == 50.0
+
+
+def test_rounds_and_clips(match):
+    from matchloom.plans import outputs
+
+    log, players = match
+    rounds = outputs.rounds(log)
+    assert {r["round_number"]: (r["start"], r["end"]) for r in rounds.collect()} == {1: (0, 900), 2: (1000, 1100)}
+    reports = Planner(log, players, MATCH, player_rounds=player_rounds(log, players)).run(model.read(RULES))
+    clips = outputs.clips(reports["base"].moments, rounds, players, rate=64.0).collect()
+    assert [(c["player_name"], c["start"], c["end"], c["titles"]) for c in clips] == [("p2", 540, 900, ["2 in round 1"])]
+    doc = outputs.documents(reports["base"].game, {"total": "kills"}).collect()
+    assert '{"player":"2","kills":2.0}' in doc[0]["players"]
+
+
+def test_profiles(match):
+    from matchloom.rules.catalog import Catalog, View
+    from matchloom.rules.profiles import PROFILES, Profile, pick, resolved, restarts
+
+    own = [*PROFILES, Profile("late", "gotv", (100, 200), {"$round_end": ("x",)})]
+    assert pick(own, "gotv", 150).name == "late" and pick(own, "gotv", 99).name == "gotv" and pick(own, "none", 1) is None
+    catalog, missing = resolved(Catalog({"a": View(("$round_end", "b")), "c": View(("$none",))}, {}), own[-1])
+    assert catalog.views["a"].events == ("x", "b") and missing == ["c"]
+    assert restarts(match[0]).collect() == []
