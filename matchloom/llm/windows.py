@@ -17,7 +17,7 @@ equal windows have equal minimisers, and consecutive windows mostly share one.
 Everything that moves is an array compressed per (task, bucket), so rows are few.
 What many documents of one task share is settled there: equal anchors and equal
 packed strings leave a task once, whatever number of documents hold them.
-Documents move by id, in ``parts`` of equal share; buckets hold hash ranges.
+Documents move by id, in ``parts`` of equal share; buckets hold shares of the anchors.
 
 Long documents are cut into stretches that overlap by ``width - 1`` tokens, so
 memory does not grow with a document's windows.
@@ -161,8 +161,8 @@ def _part(doc: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets are ranges of the anchors' first bits."""
-    return ((anchor >> np.uint64(_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    """Minimisers are small hashes; hashed again they are dealt evenly."""
+    return ((_mix(anchor) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _ids(column: pa.Array) -> np.ndarray:
