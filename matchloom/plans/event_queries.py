@@ -410,7 +410,7 @@ def did_you_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.suggestions(event_log(spark, sf_dir), "event", "clik").withColumn("distance", C("distance").cast("long"))
 
 
-@query(L + "select seq, case event when 'view' then 1.5 when 'click' then 2.0 end as weight, [k, k + 1][3] as beyond, coalesce(case event when 'view' then 1.5 when 'click' then 2.0 end > 1.7, false) as heavy from log")
+@query(L + "select seq, case event when 'view' then 1.5::double when 'click' then 2.0::double end as weight, [k, k + 1][3] as beyond, coalesce(case event when 'view' then 1.5 when 'click' then 2.0 end > 1.7, false) as heavy from log")
 def map_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     weight = scalar.lookup({"view": 1.5, "click": 2.0}, C("event"))
     return event_log(spark, sf_dir).select("seq", weight.alias("weight"), scalar.item(F.array("k", C("k") + 1), 2).alias("beyond"), scalar.truth(weight > 1.7).alias("heavy"))
