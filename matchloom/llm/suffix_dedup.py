@@ -32,7 +32,7 @@ def _cut(raw: bytes) -> tuple[np.ndarray, bytes, None]:
     return _BYTE[np.frombuffer(raw, np.uint8)], raw, None
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 50, anchor: int = 12) -> DataFrame:
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 50, anchor: int = 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (what stays, broken characters as U+FFFD), kept_sha256 of every row."""
     return _run(docs, id_col, text_col, width, anchor, True)
 
@@ -54,4 +54,4 @@ def _run(docs: DataFrame, id_col: str, text_col: str, width: int, anchor: int, w
 
 def query(docs: DataFrame) -> DataFrame:
     """The columns of query op9_suffix_dedup."""
-    return _run(docs, "doc_id", "text", 50, 12, False)
+    return _run(docs, "doc_id", "text", 50, 20, False)
