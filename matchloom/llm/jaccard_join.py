@@ -43,8 +43,10 @@ _ROWS = "slot int, body binary"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _LOW = np.uint64(0xFFFFFFFF)
 _FLUSH = 8 << 20
+#: Fingerprints, of 16 bytes, that go to every task at most.
+_WANTED = 200_000
 # what a row's body holds
-SIGNATURES, PAIRS, NOTICES, SETS, LINKS, NODES = 1, 2, 3, 4, 5, 6
+SIGNATURES, PAIRS, NOTICES, SETS, LINKS, NODES, EACH = 1, 2, 3, 4, 5, 6, 7
 
 
 def words_of(raw: bytes) -> list[bytes]:
@@ -54,6 +56,8 @@ def words_of(raw: bytes) -> list[bytes]:
 
 
 _known: dict[bytes, int] = {}
+#: Odd factors of a shingle's words.
+_ODD = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1) ^ 0xD6E8FEB86659FD93 * k) % (1 << 64) | 1) for k in range(8)]
 
 
 def shingles(raw: bytes, size: int) -> np.ndarray:
@@ -71,21 +75,28 @@ def shingles(raw: bytes, size: int) -> np.ndarray:
         ids.append(h)
     h = np.array(ids, np.uint64)
     size = min(size, len(h))
-    key = np.full(len(h) - size + 1, size, np.uint64)
-    for k in range(size):
-        key = _mix((key ^ h[k : len(h) - size + 1 + k]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1))
-    return np.unique(key)
+    n = len(h) - size + 1
+    key = h[:n] * _ODD[0]
+    for k in range(1, size):
+        key += h[k : n + k] * _ODD[k % len(_ODD)]
+        if k % len(_ODD) == len(_ODD) - 1:
+            key = _mix(key)
+    key = _mix(key + np.uint64(size))
+    key.sort()
+    return key[np.concatenate(([True], key[1:] != key[:-1]))]
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether 100 * intersection >= percent * union, of sorted distinct arrays."""
     if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
         return False
-    both = len(a) + len(b) - len(np.union1d(a, b))
+    if len(a) > len(b):
+        a, b = b, a
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def bands(percent: int, ratio: float = 1.4, largest: int = 1 << 40) -> list[int]:
+def bands(percent: int, ratio: float = 1.7, largest: int = 1 << 40) -> list[int]:
     """Lower borders of the size bands; no link spans more than one border."""
     out = [1]
     while out[-1] < largest:
@@ -173,35 +184,72 @@ class Join:
         return int.from_bytes(fingerprint[:4], "little") % self.parts
 
     def sets(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each set that a task's documents have, once: slot, fingerprint, a text with that set."""
+        """Each set that a task's documents have, once: slot, fingerprint, a text with that set.
+
+        A row without fingerprint has a batch's ids, set sizes and fingerprints; it goes along to the end.
+        """
         seen: set[bytes] = set()
         size = 0
         for batch in batches:
-            slots, prints, raws = [], [], []
+            slots_, prints, raws, sizes, each = [], [], [], [], []
             for raw in _bytes(batch.column("text")):
                 own = shingles(raw, self.size)
                 size += len(raw)
-                if len(own) and (f := _fingerprint(own)) not in seen:
+                f = _fingerprint(own) if len(own) else bytes(16)
+                sizes.append(len(own))
+                each.append(f)
+                if len(own) and f not in seen:
                     seen.add(f)
-                    slots.append(self.part(f))
+                    slots_.append(self.part(f))
                     prints.append(f)
                     raws.append(raw)
+            if each:
+                ids = batch.column("doc_id")
+                body = _pack(
+                    kind=np.array([EACH], np.uint8),
+                    slot=np.array([self.part(each[0] if any(each[0]) else each[-1])]),
+                    doc=np.asarray(ids.fill_null(0).to_numpy(zero_copy_only=False), np.int64),
+                    none=np.asarray(ids.is_null().to_numpy(zero_copy_only=False), np.uint8),
+                    size=np.array(sizes, np.int64),
+                    prints=np.frombuffer(b"".join(each), np.uint8),
+                )
+                slots_.append(int(_unpack(body)["slot"][0]))
+                prints.append(None)
+                raws.append(body)
             if size > 8 * _FLUSH:
                 seen, size = set(), 0
-            yield pa.record_batch([pa.array(slots, pa.int32()), pa.array(prints, pa.binary()), pa.array(raws, pa.binary())], names=["slot", "print", "raw"])
+            yield self._texts(slots_, prints, raws, [None] * len(slots_))
+
+    def chosen(self, batches: Iterator[pa.RecordBatch], ids: set[int | None], wanted: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+        """Texts of the wanted nodes only, from documents with the given ids; no other document is cut up."""
+        for batch in batches:
+            rows: dict[bytes, bytes] = {}
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), _bytes(batch.column("text")), strict=True):
+                if doc in ids and len(own := shingles(raw, self.size)) and (f := _fingerprint(own)) in wanted:
+                    rows.setdefault(f, raw)
+            nodes = [wanted[f] for f in rows]
+            yield self._texts([n >> 32 for n in nodes], list(rows), list(rows.values()), [n & 0xFFFFFFFF for n in nodes])
+
+    @staticmethod
+    def _texts(slots_: list, prints: list, raws: list, places: list) -> pa.RecordBatch:
+        return pa.record_batch(
+            [pa.array(slots_, pa.int32()), pa.array(prints, pa.binary()), pa.array(raws, pa.binary()), pa.array(places, pa.int64())], names=["slot", "print", "raw", "place"]
+        )
 
-    def nodes(self, table: pa.Table) -> tuple[list[bytes], list[bytes]]:
-        """Distinct fingerprints of a slot in order, with a text of each; a node's number is slot << 32 | place."""
-        found = dict(zip(table.column("print").to_pylist(), table.column("raw").to_pylist(), strict=True))
+    def nodes(self, table: pa.Table) -> tuple[list[bytes], dict[int, bytes]]:
+        """Distinct fingerprints of a slot in order, and a text by place; a node's number is slot << 32 | place."""
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("print", "raw", "place")), strict=True))
+        found = {p: raw for p, raw, _ in rows if p is not None}
+        places = {p: k for p, _, k in rows if k is not None}
         prints = sorted(found)
-        return prints, [found[p] for p in prints]
+        return prints, {places.get(p, k): found[p] for k, p in enumerate(prints)}
 
     def index(self, table: pa.Table) -> pa.Table:
         """Signatures of a slot's nodes, by bucket."""
         slot = table.column("slot")[0].as_py()
         prints, raws = self.nodes(table)
         sig, node, spare, sizes = [], [], [], []
-        for k, raw in enumerate(raws):
+        for k, raw in raws.items():
             own = shingles(raw, self.size)
             for name, h in schemes(len(own), self.borders, self.percent):
                 if not h:
@@ -213,6 +261,7 @@ class Join:
                     spare.append(np.full(len(s), min(room, 0xFFFE) if room != 0xFFFF else 0xFFFF, np.uint16))
                     sizes.append(np.full(len(s), len(own), np.uint32))
         out = [(slot, _pack(kind=np.array([NODES], np.uint8), slot=np.array([slot]), prints=np.frombuffer(b"".join(prints), np.uint8)))]
+        out += [(slot, raw) for p, raw in zip(table.column("print").to_pylist(), table.column("raw").to_pylist(), strict=True) if p is None]
         if sig:
             sig, node, spare, sizes = np.concatenate(sig), np.concatenate(node), np.concatenate(spare), np.concatenate(sizes)
             sig >>= np.uint64(12)
@@ -245,7 +294,7 @@ class Join:
     def candidates(self, table: pa.Table) -> pa.Table:
         """Pairs of cheap signatures; of hot ones pairs with the first node, and notices to all nodes."""
         found = _read(table)
-        out = [(int(x["slot"][0]), _pack(**x)) for x in found.get(NODES, [])]
+        out = [(int(x["slot"][0]), _pack(**x)) for kind in (NODES, EACH) for x in found.get(kind, [])]
         if rows := found.get(SIGNATURES):
             sig, node, spare, size, count = self._by_signature(rows)
             first = np.cumsum(count) - count
@@ -272,8 +321,8 @@ class Join:
         """The texts of the pairs' first nodes to the slots of the second ones."""
         out = []
         found = _read(table)
-        for kind in (NODES, NOTICES):
-            out += [(int(x["slot"][0]) if kind == NODES else int(x["node"][0] >> 32), _pack(**x)) for x in found.get(kind, [])]
+        for kind in (NODES, EACH, NOTICES):
+            out += [(int(x["node"][0] >> 32) if kind == NOTICES else int(x["slot"][0]), _pack(**x)) for x in found.get(kind, [])]
         if rows := found.get(PAIRS):
             _, raws = self.nodes(texts_)
             a, b = np.unique(np.stack(_cat(rows, "a", "b")), axis=1)
@@ -303,7 +352,7 @@ class Join:
         """Pairs whose sets are similar enough."""
         out = []
         found = _read(table)
-        for kind in (NODES, NOTICES):
+        for kind in (NODES, EACH, NOTICES):
             out += [(kind, _pack(**x)) for x in found.get(kind, [])]
         rows = found.get(SETS, [])
         if rows:
@@ -422,15 +471,16 @@ def join(
     docs = texts(docs, id_col, text_col)
     parts = slots(docs.sparkSession)
     j = Join(size, percent, parts, few)
-    sets = docs.select("text").mapInArrow(j.sets, "slot int, print binary, raw binary")
     by = lambda df: df.groupBy("slot")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         sent = by(sets).cogroup(by(pairs)).applyInArrow(lambda a, b: j.send(a, b), _ROWS)
         return by(sets).cogroup(by(sent)).applyInArrow(lambda a, b: j.verify(a, b), _ROWS)
 
+    kinds = "slot int, print binary, raw binary, place long"
+    sets = docs.mapInArrow(j.sets, kinds)
     indexed = by(sets).applyInArrow(lambda t: j.index(t), _ROWS)
-    found = written(verified(by(indexed).applyInArrow(lambda t: j.candidates(t), _ROWS)))
+    found = written(verified(by(indexed).applyInArrow(lambda t: j.candidates(t), _ROWS), sets))
     pair = lambda x: pa.record_batch([pa.array(x["a"]), pa.array(x["b"])], names=["a", "b"])
     links = _unpacked(found.where(F.col("slot") == LINKS), pair, "a long, b long")
     labels = written(components(links))
@@ -438,15 +488,6 @@ def join(
     def noticed(x: dict) -> pa.RecordBatch:
         return pa.record_batch([pa.array([int(x["node"][0]) >> 32], pa.int32()), pa.array([_pack(**x)], pa.binary())], schema=_SCHEMA)
 
-    notices = _unpacked(found.where(F.col("slot") == NOTICES), noticed, _ROWS)
-    spread = labels.select(F.shiftright("node", 32).cast("int").alias("slot"), "node", "label")
-    need = by(notices).cogroup(by(spread)).applyInArrow(lambda a, b: j.needs(a, b), _ROWS)
-    rest = written(by(need).applyInArrow(lambda t: j.rest(t), _ROWS))
-    if not rest.isEmpty():
-        more = _unpacked(verified(rest).where(F.col("slot") == LINKS), pair, "a long, b long")
-        old = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
-        labels = written(components(more.union(old)))
-
     def named(x: dict) -> pa.RecordBatch:
         raw = x["prints"].tobytes()
         prints = [raw[k : k + 16] for k in range(0, len(raw), 16)]
@@ -454,17 +495,32 @@ def join(
 
     nodes = _unpacked(found.where(F.col("slot") == NODES), named, "node long, print binary").distinct()
 
-    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [shingles(raw, size) for raw in _bytes(batch.column("text"))]
-            yield pa.record_batch(
-                [batch.column("doc_id"), pa.array([len(x) for x in own], pa.int64()), pa.array([_fingerprint(x) if len(x) else None for x in own], pa.binary())],
-                names=["doc_id", "n_shingles", "print"],
-            )
-
-    each = written(docs.mapInArrow(sized, "doc_id long, n_shingles long, print binary"))
-    first = each.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("low"))
-    first = first.join(nodes, "print").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    def one_by_one(x: dict) -> pa.RecordBatch:
+        raw, sizes = x["prints"].tobytes(), x["size"]
+        prints = [raw[16 * k : 16 * k + 16] if n else None for k, n in enumerate(sizes.tolist())]
+        return pa.record_batch([pa.array(x["doc"], mask=x["none"] > 0), pa.array(sizes), pa.array(prints, pa.binary())], names=["doc_id", "n_shingles", "print"])
+
+    each = _unpacked(found.where(F.col("slot") == EACH), one_by_one, "doc_id long, n_shingles long, print binary")
+    lows = each.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("low"))
+    notices = _unpacked(found.where(F.col("slot") == NOTICES), noticed, _ROWS)
+    labelled = labels.select(F.shiftright("node", 32).cast("int").alias("slot"), "node", "label")
+    need = by(notices).cogroup(by(labelled)).applyInArrow(lambda a, b: j.needs(a, b), _ROWS)
+    rest = written(by(need).applyInArrow(lambda t: j.rest(t), _ROWS))
+    if not rest.isEmpty():
+        # few sets: only their texts move again; many: all do
+        ends = _unpacked(rest, pair, "a long, b long")
+        ends = ends.select("a").union(ends.select("b")).distinct().join(nodes, F.col("a") == F.col("node")).join(lows, "print")
+        ends = written(ends.select("node", "print", "low"))
+        again = sets
+        if ends.count() <= _WANTED:
+            rows = [(r["node"], bytes(r["print"]), r["low"]) for r in ends.toLocalIterator()]
+            ids, wanted = {low for *_, low in rows}, {p: n for n, p, _ in rows}
+            again = docs.mapInArrow(lambda batches: j.chosen(batches, ids, wanted), kinds)
+        more = _unpacked(verified(rest, again).where(F.col("slot") == LINKS), pair, "a long, b long")
+        old = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+        labels = written(components(more.union(old)))
+
+    first = lows.join(nodes, "print").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = first.groupBy("label").agg(F.min("low").alias("component"))
     by_set = first.join(lowest, "label").select("print", "component")
     return each.join(by_set, "print", "left").select("doc_id", "n_shingles", F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
