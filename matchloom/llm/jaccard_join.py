@@ -408,11 +408,15 @@ class Join:
         first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
         out: list[np.ndarray] = []
         for x, y in zip(first.tolist(), np.concatenate((first[1:], [len(sig)])).tolist(), strict=True):
-            own = np.flatnonzero(need[x:y]) + x
-            if not len(own) or (label[x:y] == label[x]).all():
+            if not need[x:y].any() or (label[x:y] == label[x]).all():
                 continue
-            for k in own.tolist():
-                other = np.flatnonzero((label[x:y] != label[k]) & (100 * np.minimum(size[x:y], size[k]) >= self.percent * np.maximum(size[x:y], size[k]))) + x
+            # one of each pair is outside the largest component, so only those are gone through
+            _, at, many = np.unique(label[x:y], return_inverse=True, return_counts=True)
+            for k in (np.flatnonzero(at != many.argmax()) + x).tolist():
+                other = (label[x:y] != label[k]) & (100 * np.minimum(size[x:y], size[k]) >= self.percent * np.maximum(size[x:y], size[k]))
+                if not need[k]:
+                    other &= need[x:y]
+                other = np.flatnonzero(other) + x
                 if len(other):
                     out.append(np.stack((np.minimum(node[other], node[k]), np.maximum(node[other], node[k]))))
             if len(out) > 1000:
