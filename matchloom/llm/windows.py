@@ -75,12 +75,27 @@ def _over(x: np.ndarray, n: int, join: Callable[[np.ndarray, np.ndarray], np.nda
     return out
 
 
+def _rolled(x: np.ndarray, n: int) -> np.ndarray:
+    """Polynomial hash of every ``n`` neighbours, by doubling."""
+    factor = lambda k: np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64))
+    levels, size = {1: x}, 1
+    while size * 2 <= n:
+        half = levels[size]
+        levels[2 * size] = half[: len(half) - size] * factor(size) + half[size:]
+        size *= 2
+    out, done = levels[size], size
+    for k in sorted(levels, reverse=True):
+        if done + k <= n:
+            m = len(x) - done - k + 1
+            out, done = out[:m] * factor(k) + levels[k][done : done + m], done + k
+    return out
+
+
 def minimisers(hashes: np.ndarray, t: Tokens) -> np.ndarray:
     """The minimiser hash of every window of a token sequence."""
     if len(hashes) < t.width:
         return np.empty(0, np.uint64)
-    with np.errstate(over="ignore"):
-        grams = _mix(_over(hashes, t.anchor, lambda a, b: _mix(a * np.uint64(0x9E3779B97F4A7C15) + b), False))
+    grams = _mix(_rolled(hashes, t.anchor))
     return _over(grams, t.width - t.anchor + 1, np.minimum, True)
 
 
