@@ -20,6 +20,7 @@ LEAF, DEPTH, EPSILON, SMOKE = 4, 64, 0.1, 144.0
 STAND, DUCK, HALF_WIDTH = 64.0, 46.0, 16.0
 HALF_YAW, HALF_PITCH = 53.0, 37.0
 STRIDE, MESH_BYTES = 4, 512 << 20
+SLACK = 1e-9
 
 
 @dataclass
@@ -78,6 +79,8 @@ class Tree:
             inside = (start[seg] >= self.low[node]) & (start[seg] <= self.high[node])
             a, b = np.where(flat, np.where(inside, -np.inf, np.inf), a), np.where(flat, np.where(inside, np.inf, -np.inf), b)
             near, far = np.minimum(a, b).max(1), np.maximum(a, b).min(1)
+            # a way through a box's very edge must not be lost by rounding; the triangles decide
+            near, far = near - SLACK, far + SLACK
             keep = (near <= far) & (far >= 0) & (near <= (out[seg] if nearest else 1.0)) & (nearest | np.isinf(out[seg]))
             seg, node = seg[keep], node[keep]
             leaf = self.child[node] < 0
