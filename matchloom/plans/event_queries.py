@@ -288,7 +288,7 @@ def player_round_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = event_log(spark, sf_dir)
     # actors and rounds of the one match are grouped under a constant key: an equi-join, no cross join
     match = F.lit(1).alias("match")
-    actors, rounds = log.where("actor < 50").select(match, "actor").distinct(), log.select(match, "day").distinct()
+    actors, rounds = log.select(match, "actor").distinct(), log.select(match, "day").distinct()
     spine = correlate.spine(actors, rounds, ["match"]).drop("match")
     found = log.groupBy(*ROUND).agg(F.count("*").alias("n"), F.sum("value").cast("double").alias("total"))
     return stats.over_spine(spine, found, ROUND, ["n"]).withColumn("total", F.coalesce("total", F.lit(0.0)))
@@ -305,7 +305,7 @@ def metrics_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(L + """, s as (select day, actor, side, cast(sum(value) as double) as v from log where actor < 30 group by all)
     select a.day, a.actor, b.actor as other_actor, a.v >= b.v as ahead from s a join s b on a.day = b.day and a.side <> b.side and a.actor <> b.actor""")
 def pair_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = event_log(spark, sf_dir).where("actor < 30").groupBy("day", "actor", "side").agg(F.sum("value").cast("double").alias("v"))
+    rows = event_log(spark, sf_dir).groupBy("day", "actor", "side").agg(F.sum("value").cast("double").alias("v"))
     return correlate.pairs(rows, ["day"], "actor", "side", ["v"]).select("day", "actor", "other_actor", (C("v") >= C("other_v")).alias("ahead"))
 
 

@@ -60,3 +60,20 @@ def test_visibility_pairs(spark, events, folder):
     got = _rows(spark, folder, "visibility_pairs")
     assert got == sorted((a, b, seen[a, b], n) for (a, b), n in meetings.items())
     assert {a for a, *_ in got} == set(USERS) and 0 < sum(seen.values()) < sum(meetings.values())
+
+
+def test_pair_matrix(spark, events, folder):
+    at = Counter()
+    for _, day, actor, _, value, _ in events:
+        at[day, actor] += round(value * 100)
+    want = [(day, a, b, x >= y) for (day, a), x in at.items() for (other, b), y in at.items() if day == other and a % 2 != b % 2]
+    assert _rows(spark, folder, "pair_matrix") == sorted(want)
+
+
+def test_player_round_spine(spark, events, folder):
+    n, total = Counter(), Counter()
+    for _, day, actor, _, value, _ in events:
+        n[actor, day] += 1
+        total[actor, day] += round(value * 100)
+    want = [(a, d, n[a, d], total[a, d] / 100) for a in USERS for d in {e[1] for e in events}]
+    assert _rows(spark, folder, "player_round_spine") == sorted(want)
