@@ -14,10 +14,10 @@ def replay(deltas: DataFrame, keys: Sequence[str], order: str, value: str, upto:
     return rows.groupBy(*keys).agg(F.max_by(value, order).alias(value))
 
 
-def difference(deltas: DataFrame, keys: Sequence[str], order: str, value: str, before: int, after: int) -> DataFrame:
+def difference(deltas: DataFrame, keys: Sequence[str], order: str, value: str, before: int | Column, after: int | Column) -> DataFrame:
     """Keys whose value differs between two places, with both values: one pass over the deltas."""
     at = lambda n: F.max_by(F.when(F.col(order) <= n, F.col(value)), F.when(F.col(order) <= n, F.col(order)))
-    both = deltas.where(F.col(order) <= max(before, after)).groupBy(*keys).agg(at(before).alias("before"), at(after).alias("after"))
+    both = deltas.where(F.col(order) <= F.greatest(F.lit(before), F.lit(after))).groupBy(*keys).agg(at(before).alias("before"), at(after).alias("after"))
     return both.where(~F.col("before").eqNullSafe(F.col("after")))
 
 

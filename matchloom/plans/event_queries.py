@@ -213,10 +213,9 @@ def spray_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     r as (select *, count(*) filter (event = 'error') over (partition by segment order by seq) as round_number from n)
     select segment, max(round_number) as rounds, count(*) as events from r group by segment""")
 def round_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rounds by running count of a marker, anew after every restart."""
-    log = event_log(spark, sf_dir).where("side = 2")
-    found = runs.rounds(log, ["side"], SEQ, _is("error"), _is("signup"))
-    return found.groupBy("segment").agg(F.max("round_number").alias("rounds"), F.count("*").alias("events"))
+    """Rounds of each side by running count of a marker, anew after every restart."""
+    found = runs.rounds(event_log(spark, sf_dir), ["side"], SEQ, _is("error"), _is("signup"))
+    return found.groupBy("side", "segment").agg(F.max("round_number").alias("rounds"), F.count("*").alias("events"))
 
 
 @query(L + """select actor, seq, coalesce(last_value(case event when 'signup' then 'open' when 'purchase' then 'paid' when 'error' then 'failed' end ignore nulls)
@@ -297,7 +296,7 @@ def player_round_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(L + """select coalesce(a.actor, b.actor) as actor, clicks, errors from (select actor, count(*) as clicks from log where event = 'click' and k < 10 group by actor) a
     full join (select actor, count(*) as errors from log where event = 'error' and k < 10 group by actor) b on a.actor = b.actor""")
 def metrics_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = event_log(spark, sf_dir).where("k < 10")
+    log = event_log(spark, sf_dir)
     one = lambda e, n: log.where(_is(e)).groupBy("actor").agg(F.count("*").alias(n))
     return correlate.merged([one("click", "clicks"), one("error", "errors")], ACTOR)
 
@@ -335,7 +334,10 @@ def snapshot_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(L + """select actor, before, after from (select actor, arg_max(k, seq) filter (seq <= 300) as before, arg_max(k, seq) filter (seq <= 600) as after from log where seq <= 600 group by actor)
     where before is distinct from after""")
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entity.difference(event_log(spark, sf_dir), ACTOR, "seq", "k", 300, 600)
+    """Actors whose state at the middle of the log is not that at its end."""
+    log = event_log(spark, sf_dir)
+    last = log.agg(F.max("seq").alias("m"))
+    return entity.difference(log, ACTOR, "seq", "k", last.select(F.floor(C("m") / 2)).scalar(), last.scalar())
 
 
 @query(L + """select actor, seq, band from (select actor, seq, k // 50 as band, row_number() over w as n, lag(k // 50) over w as p from log window w as (partition by actor order by seq))

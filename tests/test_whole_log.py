@@ -77,3 +77,28 @@ def test_player_round_spine(spark, events, folder):
         total[actor, day] += round(value * 100)
     want = [(a, d, n[a, d], total[a, d] / 100) for a in USERS for d in {e[1] for e in events}]
     assert _rows(spark, folder, "player_round_spine") == sorted(want)
+
+
+def test_metrics_outer_join(spark, events, folder):
+    n = Counter((actor, event) for _, _, actor, event, _, _ in events)
+    want = [(a, n[a, "click"] or None, n[a, "error"] or None) for a in USERS if n[a, "click"] or n[a, "error"]]
+    assert _rows(spark, folder, "metrics_outer_join") == sorted(want)
+
+
+def test_round_numbering(spark, events, folder):
+    segment, number, rounds, rows = Counter(), Counter(), Counter(), Counter()
+    for _, _, actor, event, _, _ in events:
+        side = actor % 2 + 2
+        if event == "signup":
+            segment[side] += 1
+            number[side] = 0
+        number[side] += event == "error"
+        rounds[side, segment[side]] = number[side]
+        rows[side, segment[side]] += 1
+    assert _rows(spark, folder, "round_numbering") == sorted((*x, rounds[x], n) for x, n in rows.items())
+
+
+def test_snapshot_diff(spark, events, folder):
+    middle, end = ({actor: k for s, _, actor, _, _, k in events if s <= upto} for upto in (events[-1][0] // 2, events[-1][0]))
+    want = [(a, middle.get(a), k) for a, k in end.items() if middle.get(a) != k]
+    assert _rows(spark, folder, "snapshot_diff") == sorted(want)
