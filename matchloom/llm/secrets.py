@@ -152,16 +152,14 @@ def redact(docs: DataFrame, *, mark: str = "[SECRET]", max_owners: int = 1, id_c
     text = docs[text_col].cast("string")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     rows = rows.join(live, rows["id"].eqNullSafe(live["doc_id"]) & (rows["key"] == live["text_key"]), "left")
-    # from the last span to the first, so places stay right; acc: the text, and where the text after it begins
-    start = F.struct(F.col("text").alias("t"), F.lit((1 << 31) - 1).alias("from"))
+    # acc: the new text, and the end of what is blotted out so far; a span that begins before it lengthens it
+    start = F.struct(F.lit("").alias("t"), F.lit(0).alias("upto"))
 
     def replace(acc, s):
-        end = F.least(s["b"], acc["from"])
-        inside = s["b"] > acc["from"]
-        tail = F.substr(acc["t"], F.when(inside, acc["from"] + len(mark) + 1).otherwise(s["b"] + 1))
-        head = F.substr(acc["t"], F.lit(1), s["a"])
-        return F.struct(F.concat(head, F.lit(mark), tail).alias("t"), F.least(s["a"], end).alias("from"))
+        between = F.substr(F.col("text"), acc["upto"] + 1, F.greatest(s["a"] - acc["upto"], F.lit(0)))
+        added = F.when(s["a"] < acc["upto"], F.lit("")).otherwise(F.concat(between, F.lit(mark)))
+        return F.struct(F.concat(acc["t"], added).alias("t"), F.greatest(acc["upto"], s["b"]).alias("upto"))
 
-    blotted = F.aggregate(F.reverse(F.array_sort("live")), start, replace, lambda acc: acc["t"])
+    blotted = F.aggregate(F.array_sort("live"), start, replace, lambda acc: F.concat(acc["t"], F.substr(F.col("text"), acc["upto"] + 1)))
     new = F.when(F.col("live").isNull(), F.col("text")).otherwise(blotted)
     return rows.select(*[(new if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
