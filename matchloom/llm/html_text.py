@@ -110,7 +110,7 @@ def lines(page: str) -> list[tuple[str, bool]]:
             dropped, main = stack[-1][1:] if stack else (False, False)
         if m[3].rstrip().endswith("/") and name in DROPPED:
             continue
-        now = name in MAIN
+        now = name in MAIN and not (name == "article" and _noise(m[3]))
         if not dropped and name not in ("html", "body"):
             # the header of an article is part of it, that of a page is not
             dropped = name in DROPPED or name == "header" and not main or not now and _noise(m[3])
@@ -234,8 +234,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
         text, deleted = [], []
         for page, gone in zip(batch.column("html").to_pylist(), batch.column("shared").to_pylist(), strict=True):
             found, gone = lines(page or ""), set(gone or ())
-            main = any(m for _, m in found)
-            own = [t for k, (t, m) in enumerate(found) if m or not main and k not in gone]
+            own = [t for k, (t, m) in enumerate(found) if m or k not in gone]
             text.append("\n".join(own))
             deleted.append(sum(not found[k][1] for k in gone))
         yield pa.record_batch(
