@@ -6,11 +6,14 @@ an ``article`` or ``main`` element are.  The others are judged by differencing:
 pages are sorted by host and URL path, every page is paired with its nearest
 neighbour on its host, the two pages' lines are aligned by their longest common
 subsequence, and lines that both share are deleted unless an article element
-holds them.  (Two pages that agree in every line say nothing about each other.)
+holds them.  Two pages that agree in every line say nothing about each other, so
+a run of adjacent ones is one node: nodes are paired, and each page of a node
+loses the node's lines.
 
-Pages are dealt by place in the global order, never by host, so a host with a
+Nodes are dealt by place in the global order, never by host, so a host with a
 third of all pages is spread like any other; what a task holds is a block of
-``BLOCK`` neighbours.  Lines are aligned by 64-bit hashes.
+``BLOCK`` neighbours, and of each node its first and last page in each range of
+the order.  Lines are aligned by 64-bit hashes.
 
 A null html is empty and has an empty text; a null or unreadable URL has an
 empty host and path; rows that agree in id, URL and html are one page, whose text each gets.
@@ -20,13 +23,16 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from matchloom.llm.common import map_batches, written
 
@@ -172,23 +178,49 @@ def _hash(line: str) -> int:
     return xxhash.xxh64_intdigest(line) - (1 << 63)
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of a range with their place in it, their run of pages that agree, and whether they are its first or last."""
+    part = TaskContext.get().partitionId()
+    at = run = 0
+    before = kept = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        first, runs = [], []
+        for host, hashes in zip(batch.column("host").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
+            first.append((host, hashes) != before)
+            run += first[-1]
+            runs.append(run)
+            before = host, hashes
+        n = batch.num_rows
+        if kept is not None:
+            yield _marked(*kept, first[0])
+        kept = batch, part, range(at, at + n), runs, first
+        at += n
+    if kept is not None:
+        yield _marked(*kept, True)
+
+
+def _marked(batch: pa.RecordBatch, part: int, at: range, runs: list[int], first: list[bool], ends: bool) -> pa.RecordBatch:
+    new = [pa.array([part] * len(runs), pa.int64()), pa.array(at, pa.int64()), pa.array(runs, pa.int64()), pa.array(first), pa.array([*first[1:], ends])]
+    return pa.record_batch([*batch.columns, *new], names=[*batch.schema.names, "part", "at", "run", "first", "last"])
+
+
 def _shared(block: pd.DataFrame) -> pd.DataFrame:
-    """Lines of each own page of a block that its nearest neighbour has too."""
+    """Lines of each own node of a block that its nearest neighbour has too, for each block of places that the node's pages are in."""
     block = block.sort_values("place", kind="stable").reset_index(drop=True)
-    host, path, own = block["host"].tolist(), block["path"].tolist(), block["own"].tolist()
-    hashes = [np.asarray(x, np.int64) for x in block["hashes"]]
-    rows, shared = [], []
+    nodes = block.groupby("node", sort=True)
+    place, upto = nodes["place"].min().tolist(), nodes["place"].max().tolist()
+    node, host, own = list(nodes.groups), nodes["host"].first().tolist(), nodes["own"].first().tolist()
+    head, tail = nodes["path"].first().tolist(), nodes["path"].last().tolist()
+    hashes = [np.asarray(x, np.int64) for x in nodes["hashes"].first()]
+    rows = []
     for i in np.flatnonzero(own):
-        other = [k for k in (i - 1, i + 1) if 0 <= k < len(host) and host[k] == host[i] and not np.array_equal(hashes[k], hashes[i])]
-        if other and len(hashes[i]):
-            k = max(other, key=lambda k: (_near(path[i], path[k]), -k))
-            if found := common(hashes[i], hashes[k]):
-                rows.append(i)
-                shared.append(found)
-    out = block.iloc[rows][["page_id", "url", "key"]].reset_index(drop=True)
-    out.columns = ["_id", "_url", "_key"]
-    out["_id"] = out["_id"].astype("Int64")
-    return out.assign(shared=pd.Series(shared, dtype="object"))
+        # the last path of the node before and the first of the node after are what stands next to it
+        other = [(_near(tail[k], head[i]) if k < i else _near(tail[i], head[k]), -k) for k in (i - 1, i + 1) if 0 <= k < len(host) and host[k] == host[i]]
+        if other and len(hashes[i]) and (found := common(hashes[i], hashes[-max(other)[1]])):
+            rows += [(node[i], k, found) for k in range(place[i] // BLOCK, upto[i] // BLOCK + 1)]
+    return pd.DataFrame({"node": pd.Series([r[0] for r in rows], dtype="int64"), "piece": pd.Series([r[1] for r in rows], dtype="int64"), "shared": pd.Series([r[2] for r in rows], dtype="object")})
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -215,18 +247,27 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     )
     order = ["host", "path", "page_id", "url", "key"]
     # a global order: range partitions, then each row's place in its partition
-    spread = written(keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
-    spread = spread.withColumn("part", F.shiftright("at", 33)).withColumn("at", F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
-    starts, total = [], 0
-    for part, count in sorted((r["part"], r["count"]) for r in spread.groupBy("part").count().collect()):
-        starts.append((part, total))
-        total += count
+    marked = keys.repartitionByRange(*order).sortWithinPartitions(*order)
+    marks = T.StructType([*keys.schema.fields, *[T.StructField(c, T.LongType()) for c in ("part", "at", "run")], *[T.StructField(c, T.BooleanType()) for c in ("first", "last")]])
+    spread = written(marked.mapInArrow(_runs, marks))
+    ends = lambda of: of(F.struct("host", F.xxhash64("hashes").alias("lines")), "at")
+    ranges = spread.where(F.col("first") | F.col("last")).groupBy("part").agg(F.max("at").alias("at"), F.max("run").alias("run"), ends(F.min_by).alias("head"), ends(F.max_by).alias("tail"))
+    starts, total, node, before = [], 0, 0, None
+    for r in sorted(ranges.collect(), key=lambda r: r["part"]):
+        # a range may begin with copies of the page that the one before ends with
+        node -= before == r["head"]
+        starts.append((r["part"], total, node))
+        total, node, before = total + r["at"] + 1, node + r["run"], r["tail"]
     # as many rows as there are range partitions
-    table = spark.createDataFrame(starts, "part long, start long")
-    placed = spread.join(F.broadcast(table), "part").withColumn("place", F.col("start") + F.col("at"))
-    near = F.array_distinct(F.transform(F.array(F.lit(0), F.lit(-1), F.lit(1)), lambda d: F.floor((F.col("place") + d) / BLOCK)))
-    dealt = placed.select("page_id", "url", "key", "host", "path", "hashes", "place", F.explode(near).alias("block")).withColumn("own", F.col("block") == F.floor(F.col("place") / BLOCK))
-    shared = dealt.groupBy("block").applyInPandas(_shared, "_id long, _url string, _key long, shared array<long>")
+    table = spark.createDataFrame(starts, "part long, start long, nodes long")
+    placed = spread.join(F.broadcast(table), "part").withColumn("place", F.col("start") + F.col("at")).withColumn("node", F.col("nodes") + F.col("run"))
+    near = F.array_distinct(F.transform(F.array(F.lit(0), F.lit(-1), F.lit(1)), lambda d: F.floor((F.col("node") + d) / BLOCK)))
+    dealt = placed.where(F.col("first") | F.col("last")).select("host", "path", F.when(F.col("first"), F.col("hashes")).alias("hashes"), "place", "node", F.explode(near).alias("block"))
+    dealt = dealt.withColumn("own", F.col("block") == F.floor(F.col("node") / BLOCK))
+    found = dealt.groupBy("block").applyInPandas(_shared, "node long, piece long, shared array<long>")
+    # by node and piece, so that a node with many copies is many keys
+    shared = placed.select("page_id", "url", "key", "node", F.floor(F.col("place") / BLOCK).alias("piece")).join(found, ["node", "piece"])
+    shared = shared.select(F.col("page_id").alias("_id"), F.col("url").alias("_url"), F.col("key").alias("_key"), "shared")
     same = pages["page_id"].eqNullSafe(shared["_id"]) & pages["url"].eqNullSafe(shared["_url"]) & (pages["key"] == shared["_key"])
     joined = pages.join(shared, same, "left").select("page_id", "url", "html", "shared")
 

@@ -21,3 +21,40 @@ def test_lines_outside_articles(texts):
     assert all(got[k] == f"Body {k}\nTeaser {k}" and got[10 + k] == f"Body {k}" for k in range(4))
     assert html_text.lines('<article class="post comment-list">a</article><main class="sidebar">b</main>') == [("a", True), ("b", True)]
     assert html_text.lines('<main><article class="comment">a</article><p>b</p></main>') == [("b", True)]
+
+
+def test_runs_of_copies(texts):
+    page = lambda k: f"<div>Site</div><div>Menu</div><p>Story {k}</p><div>End</div>"
+    rows = [(0, "http://h/a", page("a"))]
+    rows += [(1 + k, f"http://h/b?q={k:03}", page("b")) for k in range(150)]
+    rows += [(200, "http://h/c", page("c")), (201, "http://i/c", page("c")), (202, "http://j/x?1", page("j")), (203, "http://j/x?2", page("j"))]
+    for parts in (1, 7):
+        got = texts(rows, parts)
+        assert got[0] == "Story a" and got[200] == "Story c" and {got[1 + k] for k in range(150)} == {"Story b"}
+        # one page on its host, and two copies with no other page: nothing to tell them by
+        assert got[201] == "Site\nMenu\nStory c\nEnd" and got[202] == got[203] == "Site\nMenu\nStory j\nEnd"
+
+
+def test_nodes_against_brute_force(texts):
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for k in range(400):
+        lines = [f"L{rng.randrange(6)}" for _ in range(rng.randrange(1, 5))] if rng.random() < 0.6 or not rows else None
+        rows.append((k, f"http://{'xy'[k // 300]}/{k:04}", "".join(f"<p>{x}</p>" for x in lines) if lines else rows[-1][2]))
+    nodes = []
+    for k, url, html in rows:
+        if not nodes or (nodes[-1][0], nodes[-1][1]) != (url[:8], html):
+            nodes.append((url[:8], html, []))
+        nodes[-1][2].append((k, url[8:]))
+    want = {}
+    for i, (host, html, own) in enumerate(nodes):
+        mine = [html_text._hash(t) for t, _ in html_text.lines(html)]
+        near = [(html_text._near(nodes[i - 1][2][-1][1], own[0][1]), -i + 1)] if i and nodes[i - 1][0] == host else []
+        near += [(html_text._near(own[-1][1], nodes[i + 1][2][0][1]), -i - 1)] if i + 1 < len(nodes) and nodes[i + 1][0] == host else []
+        other = [html_text._hash(t) for t, _ in html_text.lines(nodes[-max(near)[1]][1])]
+        gone = set(html_text.common(html_text.np.array(mine), html_text.np.array(other)))
+        text = "\n".join(t for j, (t, _) in enumerate(html_text.lines(html)) if j not in gone)
+        want.update({k: text for k, _ in own})
+    assert texts(rows, 3) == want
