@@ -17,7 +17,9 @@ bytes of text; a larger benchmark is joined part by part, and the parts' hits
 are brought together by document.
 
 Nulls and empty texts have no words; an item without words has no window;
-repeated items with one id count once; repeated documents are judged each.
+an item without an id is left out, or with ``unnamed``, as in the query and the
+pipeline, its windows are hits like any other, but no item is counted or listed
+for them; repeated items with one id count once; repeated documents are judged each.
 """
 
 from __future__ import annotations
@@ -68,13 +70,13 @@ class Windows:
     shingle: int
 
     @classmethod
-    def build(cls, rows: list[tuple[str, bytes]], window: int, shingle: int) -> Windows:
+    def build(cls, rows: list[tuple[str | None, bytes]], window: int, shingle: int) -> Windows:
         vocabulary: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[str]] = {}
         for item, raw in rows:
             ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(raw)]
             for k in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[k : k + window]), set()).add(item)
+                found.setdefault(tuple(ids[k : k + window]), set()).update([] if item is None else [item])
         return cls(vocabulary, [np.array(w, np.int64) for w in found], [sorted(x) for x in found.values()], shingle)
 
     def shingles(self) -> dict[int, np.ndarray]:
@@ -219,12 +221,12 @@ def _hits(docs: DataFrame, index: Prefixes) -> DataFrame:
     return map_batches(docs, run, "doc_id long, text_key long, n_words long, hits array<long>, items array<string>")
 
 
-def _indexes(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, shingle: int, part_bytes: int) -> list[Prefixes]:
+def _indexes(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, shingle: int, part_bytes: int, unnamed: bool) -> list[Prefixes]:
     """Prefix tokens of each part of the benchmark."""
     bench = benchmark.select(
         benchmark[item_col].cast("string").alias("item"), benchmark[item_text_col].cast("string").alias("text")
-    ).where("item is not null and text is not null")
-    size = bench.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
+    ).where("text is not null" if unnamed else "item is not null and text is not null")
+    size = bench.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("item"), F.lit(0)))).first()[0] or 0
     parts = max(1, -(-2 * size // part_bytes)) if size > part_bytes else 1
     if parts > 1:
         bench = bench.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)))
@@ -246,10 +248,11 @@ def clean(
     window: int = 10,
     shingle: int = 5,
     part_bytes: int = 32 << 20,
+    unnamed: bool = False,
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no window of the benchmark."""
     own = docs.select(docs[text_col].cast("string").alias("text"))
-    for index in _indexes(own, benchmark, item_col, item_text_col, window, shingle, part_bytes):
+    for index in _indexes(own, benchmark, item_col, item_text_col, window, shingle, part_bytes, unnamed):
 
         def free(batch: pa.RecordBatch, index: Prefixes = index) -> list[bool]:
             ids, sizes = _laid_out(pa.record_batch([batch.column(text_col)], names=["text"]), index.vocabulary)
@@ -272,10 +275,11 @@ def decontaminate(
     window: int = 10,
     shingle: int = 5,
     part_bytes: int = 32 << 20,
+    unnamed: bool = False,
 ) -> DataFrame:
     """doc_id, text_key, n_words, hits array<long> (positions of the hit words), items array<string> of each document."""
     docs = texts(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
-    found = [_hits(docs, index) for index in _indexes(docs, benchmark, item_col, item_text_col, window, shingle, part_bytes)]
+    found = [_hits(docs, index) for index in _indexes(docs, benchmark, item_col, item_text_col, window, shingle, part_bytes, unnamed)]
     parts = len(found)
     if parts == 1:
         return found[0]
@@ -318,6 +322,6 @@ def brute_force(documents: list[tuple[int, str | None]], items: list[tuple[str,
             for k in range(len(words) - len(w) + 1):
                 if words[k : k + len(w)] == w:
                     hit.update(range(k, k + len(w)))
-                    found.add(item)
+                    found.update([] if item is None else [item])
         out[doc] = (len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest())
     return out

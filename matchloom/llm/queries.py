@@ -9,7 +9,7 @@ from matchloom.llm.common import read
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.digest(decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+    return decontaminate.digest(decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), unnamed=True))
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
