@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Rows that travel to a Python worker at once; keeps a worker's memory small.
-BATCH_ROWS = 1000
+#: Rows and bytes that travel to a Python worker at once; keeps a worker's memory small.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: Stands for a null id where ids are compared.
 NO_ID = (1 << 63) - 1
 
@@ -31,10 +31,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(spark: SparkSession) -> None:
+    """From now on batches for Python workers are bounded in rows and in bytes, so that a
+    thousand very long texts are many batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string): all that most operators read of a table."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bounded(spark)
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
@@ -51,7 +58,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.Record
 
 def filter_batches(df: DataFrame, keep: Callable[[pa.RecordBatch], Iterable[bool]]) -> DataFrame:
     """The rows of ``df``, all columns as they are, for which ``keep`` is true."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bounded(df.sparkSession)
     return map_batches(df, lambda batch: [batch.filter(pa.array([bool(k) for k in keep(batch)], pa.bool_()))], df.schema)
 
 
@@ -61,11 +68,20 @@ def raw_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def slots(spark: SparkSession) -> int:
-    """Slots that packed arrays are dealt to: some more than shuffle partitions, so that
-    those of small clusters stay small, while rows (at most slots squared) stay near the
-    number of blocks that any shuffle has."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) + 128
+#: Bytes of input for each slot, and the largest number of slots.
+SLOT_BYTES, MOST_SLOTS = 8 << 20, 1 << 17
+
+
+def slots(df: DataFrame) -> int:
+    """Slots that packed arrays are dealt to: one for every ``SLOT_BYTES`` of input, so that
+    what a task loads stays the same however large the input is, and some more than shuffle
+    partitions, so that those of small clusters stay small.  The size is Spark's estimate
+    of the tables that ``df`` is made of; one without an estimate counts as empty."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    size = sum(n for n in sizes if n < 1 << 60)
+    least = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 128
+    return max(least, min(MOST_SLOTS, size // SLOT_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:

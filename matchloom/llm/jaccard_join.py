@@ -4,30 +4,38 @@ Two sets R, S with |R n S| >= s |R u S| differ in at most
 ``H = (1 - s) / (1 + s) * (|R| + |S|)`` elements.  The universe of 64-bit shingle
 hashes is cut into ``m > H`` segments of equal width, where ``H`` is the largest
 possible in a *size band* (or across the border of two bands), so a linked pair
-agrees in all but ``H`` segments.  A document's signature for each segment that
-it has elements in is indexed.
-
-* A document with more than ``H`` indexed segments meets each partner in one.
-* A *thin* document, whose elements leave too many segments empty, gets two units
-  from each segment instead of one: it also indexes the segment's one-deletion
-  neighbourhood, among thin documents, which finds segments that differ by one.
-* Signatures that more than ``few`` documents share are *hot*.  Costs decide who
-  uses them: documents that have more than ``H`` cheap segments need none; the
-  others use their cheapest hot ones, as many as they lack.
-
-Candidates are verified on the exact shingle sets.  Documents with equal sets are
-one node.  All pairs of a cheap signature are candidates.  The documents of a hot
-signature are first compared with one of them; once links have been turned into
-components, only pairs of a document that needs the signature with documents of
-another component are compared.  So no group is expanded into all its pairs, and
-no link between two components is missed.
-
-Everything moves as compressed arrays, in a row per (task, slot).
+agrees in all but ``H`` segments.  A set's signature of each segment that it has
+elements in is indexed.  How many units a segment gets is decided by cost, where a
+signature that more than ``few`` sets share is *hot* and gets none:
+
+* A set with more than ``H`` cheap signatures meets each partner in one of them.
+* A *thin* set, whose elements leave too many segments empty, gets two units from
+  each segment: it also indexes the segment's one-deletion neighbourhood, among
+  thin sets, which finds segments that differ by one.
+* Sets that lack units, as their segments are hot, are cut anew into the narrowest
+  segments, of one element each.  Frequencies among these *poor* sets are the cost;
+  a set asks with its cheapest elements, just as many as a partner cannot all miss.
+  A pair of which one set has cheap elements enough, or that shares any cheap
+  element, meets in a cheap element that both ask with.
+* What is left are sets that are hot but for a fifth, so nearly all their content is
+  their group's.  A pair of them that shares no cheap element can be linked only if
+  the smaller hot part alone is enough.  Each is compared with the member of its
+  group that has the fewest cheap elements; links become components; then members
+  outside the group's largest component are compared with those members of other
+  components that the bound leaves.
+
+No group is expanded into its pairs: stars join what is alike, and the bound cuts off
+what only shares a passage.  (Sets of one group that no star reaches, and that the
+bound leaves as possible, are compared one by one; none is dropped.)
+
+Candidates are verified on the exact sets.  Documents with equal sets are one node.
+Only sets that have a candidate at all are read again: a bitmap of fixed size tells
+which texts these may be.  Signatures move as compressed arrays, in a row per (task, slot).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,45 +43,33 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.llm import wordhash
 from matchloom.llm.common import slots, texts, written
 from matchloom.llm.windows import _bytes, _mix, _pack, _unpack
 
 _SCHEMA = pa.schema([("slot", pa.int32()), ("body", pa.binary())])
 _ROWS = "slot int, body binary"
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _LOW = np.uint64(0xFFFFFFFF)
-_FLUSH = 8 << 20
-#: Fingerprints, of 16 bytes, that go to every task at most.
-_WANTED = 200_000
-# what a row's body holds
-SIGNATURES, PAIRS, NOTICES, SETS, LINKS, NODES, EACH = 1, 2, 3, 4, 5, 6, 7
+#: Bytes of text whose signatures a task packs together.
+_FLUSH = 16 << 20
+#: Bits of the map of wanted texts; more texts than bits only make it pass more.
+_MAP_BITS = 24
+#: Partners that one copy of a text is compared with in one task.
+_PARTNERS = 2000
+# what a packed row holds, and what a row of the index's results says
+SIGNATURES, PAIR, HOT, EACH = 1, 2, 3, 4
+_FOUND = "kind int, a long, b long, c long, d long, print binary"
+_FOUND_SCHEMA = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("d", pa.int64()), ("print", pa.binary())])
 
-
-def words_of(raw: bytes) -> list[bytes]:
-    """Words of a UTF-8 text with A-Z in lower case."""
-    # bytes.split splits at \x09-\x0D and the space only
-    return raw.translate(_LOWER).split()
-
-
-_known: dict[bytes, int] = {}
 #: Odd factors of a shingle's words.
 _ODD = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1) ^ 0xD6E8FEB86659FD93 * k) % (1 << 64) | 1) for k in range(8)]
 
 
 def shingles(raw: bytes, size: int) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles; fewer words are one shingle, none give none."""
-    words = words_of(raw)
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(_known) > 300_000:
-        _known.clear()
-    get, ids = _known.get, []
-    for w in words:
-        h = get(w)
-        if h is None:
-            h = _known[w] = xxhash.xxh64_intdigest(w)
-        ids.append(h)
-    h = np.array(ids, np.uint64)
+    h, _, _ = wordhash.words(raw, lower=True)
+    if not len(h):
+        return h
     size = min(size, len(h))
     n = len(h) - size + 1
     key = h[:n] * _ODD[0]
@@ -140,300 +136,215 @@ def signatures(hashes: np.ndarray, scheme: int, h: int) -> tuple[np.ndarray, int
     return own, spare, _mix(thin ^ np.uint64(0x5851F42D4C957F2D))
 
 
-def _rows(found: list[tuple[int, bytes]]) -> pa.Table:
-    return pa.table([pa.array([s for s, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())], schema=_SCHEMA)
-
-
-def _by(slot: np.ndarray, kind: int, **arrays: np.ndarray) -> list[tuple[int, bytes]]:
-    """A row for each slot with its share of the arrays, marked with what they are."""
-    if not len(slot):
-        return []
-    order = np.argsort(slot, kind="stable")
-    slot = slot[order]
-    arrays = {k: v[order] for k, v in arrays.items()}
-    edge = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
-    end = np.concatenate((edge[1:], [len(slot)]))
-    mark = np.array([kind], np.uint8)
-    return [(int(slot[a]), _pack(kind=mark, **{k: v[a:b] for k, v in arrays.items()})) for a, b in zip(edge.tolist(), end.tolist(), strict=True)]
-
-
-def _read(table: pa.Table) -> dict[int, list[dict[str, np.ndarray]]]:
-    out: dict[int, list] = {}
-    for body in table.column("body").to_pylist():
-        x = _unpack(body)
-        out.setdefault(int(x["kind"][0]), []).append(x)
-    return out
-
-
-def _cat(rows: list[dict[str, np.ndarray]], *names: str) -> list[np.ndarray]:
-    return [np.concatenate([r[n] for r in rows]) for n in names]
-
-
 def _fingerprint(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
+def _found(kind: int, a, b, c, d=None, prints=None, none=None) -> pa.Table:
+    n = len(a)
+    zero = np.zeros(n, np.int64)
+    return pa.table(
+        [
+            pa.array(np.full(n, kind, np.int32)),
+            pa.array(a, pa.int64(), mask=none),
+            pa.array(b, pa.int64()),
+            pa.array(c, pa.int64()),
+            pa.array(zero if d is None else d, pa.int64()),
+            pa.array(prints, pa.binary()) if prints is not None else pa.nulls(n, pa.binary()),
+        ],
+        schema=_FOUND_SCHEMA,
+    )
+
+
 class Join:
-    """The steps of the join; ``parts`` and ``buckets`` are numbers of slots, not of tasks."""
+    """The steps of the join that work on arrays; ``parts`` is a number of slots, not of tasks."""
+
+    #: ``spare`` of signatures that may all be hot, and the largest that is told apart.
+    ANY, MOST = 255, 254
 
     def __init__(self, size: int, percent: int, parts: int, few: int):
         self.size, self.percent, self.parts, self.few = size, percent, parts, few
         self.borders = bands(percent)
 
-    def part(self, fingerprint: bytes) -> int:
-        return int.from_bytes(fingerprint[:4], "little") % self.parts
-
-    def sets(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each set that a task's documents have, once: slot, fingerprint, a text with that set.
-
-        A row without fingerprint has a batch's ids, set sizes and fingerprints; it goes along to the end.
-        """
+    def post(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Signatures of each set that a task's documents have, by bucket, and the documents' own rows."""
         seen: set[bytes] = set()
+        held: list[tuple[np.ndarray, int, int, int, int]] = []
         size = 0
         for batch in batches:
-            slots_, prints, raws, sizes, each = [], [], [], [], []
+            if not batch.num_rows:
+                continue
+            sizes, prints = [], []
             for raw in _bytes(batch.column("text")):
                 own = shingles(raw, self.size)
-                size += len(raw)
                 f = _fingerprint(own) if len(own) else bytes(16)
                 sizes.append(len(own))
-                each.append(f)
+                prints.append(f)
+                size += len(raw)
                 if len(own) and f not in seen:
                     seen.add(f)
-                    slots_.append(self.part(f))
-                    prints.append(f)
-                    raws.append(raw)
-            if each:
-                ids = batch.column("doc_id")
-                body = _pack(
-                    kind=np.array([EACH], np.uint8),
-                    slot=np.array([self.part(each[0] if any(each[0]) else each[-1])]),
-                    doc=np.asarray(ids.fill_null(0).to_numpy(zero_copy_only=False), np.int64),
-                    none=np.asarray(ids.is_null().to_numpy(zero_copy_only=False), np.uint8),
-                    size=np.array(sizes, np.int64),
-                    prints=np.frombuffer(b"".join(each), np.uint8),
-                )
-                slots_.append(int(_unpack(body)["slot"][0]))
-                prints.append(None)
-                raws.append(body)
-            if size > 8 * _FLUSH:
-                seen, size = set(), 0
-            yield self._texts(slots_, prints, raws, [None] * len(slots_))
-
-    def chosen(self, batches: Iterator[pa.RecordBatch], ids: set[int | None], wanted: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-        """Texts of the wanted nodes only, from documents with the given ids; no other document is cut up."""
-        for batch in batches:
-            rows: dict[bytes, bytes] = {}
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), _bytes(batch.column("text")), strict=True):
-                if doc in ids and len(own := shingles(raw, self.size)) and (f := _fingerprint(own)) in wanted:
-                    rows.setdefault(f, raw)
-            nodes = [wanted[f] for f in rows]
-            yield self._texts([n >> 32 for n in nodes], list(rows), list(rows.values()), [n & 0xFFFFFFFF for n in nodes])
-
-    @staticmethod
-    def _texts(slots_: list, prints: list, raws: list, places: list) -> pa.RecordBatch:
-        return pa.record_batch(
-            [pa.array(slots_, pa.int32()), pa.array(prints, pa.binary()), pa.array(raws, pa.binary()), pa.array(places, pa.int64())], names=["slot", "print", "raw", "place"]
-        )
-
-    def nodes(self, table: pa.Table) -> tuple[list[bytes], dict[int, bytes]]:
-        """Distinct fingerprints of a slot in order, and a text by place; a node's number is slot << 32 | place."""
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("print", "raw", "place")), strict=True))
-        found = {p: raw for p, raw, _ in rows if p is not None}
-        places = {p: k for p, _, k in rows if k is not None}
-        prints = sorted(found)
-        return prints, {places.get(p, k): found[p] for k, p in enumerate(prints)}
-
-    def index(self, table: pa.Table) -> pa.Table:
-        """Signatures of a slot's nodes, by bucket."""
-        slot = table.column("slot")[0].as_py()
-        prints, raws = self.nodes(table)
-        sig, node, spare, sizes = [], [], [], []
-        for k, raw in raws.items():
-            own = shingles(raw, self.size)
-            for name, h in schemes(len(own), self.borders, self.percent):
-                if not h:
-                    continue  # equal sets only, and these are one node
-                exact, more, thin = signatures(own, name, h)
-                for s, room in ((exact, max(more, 0)), (thin, 0xFFFF)):
-                    sig.append(s)
-                    node.append(np.full(len(s), k, np.uint32))
-                    spare.append(np.full(len(s), min(room, 0xFFFE) if room != 0xFFFF else 0xFFFF, np.uint16))
-                    sizes.append(np.full(len(s), len(own), np.uint32))
-        out = [(slot, _pack(kind=np.array([NODES], np.uint8), slot=np.array([slot]), prints=np.frombuffer(b"".join(prints), np.uint8)))]
-        out += [(slot, raw) for p, raw in zip(table.column("print").to_pylist(), table.column("raw").to_pylist(), strict=True) if p is None]
-        if sig:
-            sig, node, spare, sizes = np.concatenate(sig), np.concatenate(node), np.concatenate(spare), np.concatenate(sizes)
-            sig >>= np.uint64(12)
+                    node = int.from_bytes(f[:8], "little")
+                    for name, h in schemes(len(own), self.borders, self.percent):
+                        if not h:
+                            continue  # equal sets only, and these are one node
+                        exact, more, thin = signatures(own, name, h)
+                        held.append((exact, node, self.ANY if more < 0 else min(more, self.MOST), name, len(own)))
+                        if len(thin):
+                            held.append((thin, node, 0, name, len(own)))
+                if size > _FLUSH:
+                    yield self._posted(held)
+                    seen, held, size = set(), [], 0
+            ids = batch.column("doc_id")
+            body = _pack(
+                kind=np.array([EACH], np.uint8),
+                doc=np.asarray(ids.fill_null(0).to_numpy(zero_copy_only=False), np.int64),
+                none=np.asarray(ids.is_null().to_numpy(zero_copy_only=False), np.uint8),
+                size=np.array(sizes, np.int64),
+                key=np.asarray(batch.column("key").to_numpy(zero_copy_only=False), np.int64),
+                prints=np.frombuffer(b"".join(prints), np.uint8),
+            )
+            yield pa.record_batch([pa.array([int.from_bytes(xxhash.xxh32_digest(body), "little") % self.parts], pa.int32()), pa.array([body], pa.binary())], schema=_SCHEMA)
+        if held:
+            yield self._posted(held)
+
+    def _posted(self, held: list) -> pa.RecordBatch:
+        if not held:
+            return pa.record_batch([pa.array([], pa.int32()), pa.array([], pa.binary())], schema=_SCHEMA)
+        sig = np.concatenate([x[0] for x in held]) >> np.uint64(12)
+        many = [len(x[0]) for x in held]
+        each = lambda k, kind: np.repeat(np.array([x[k] for x in held], kind), many)
+        order = np.argsort(sig, kind="stable")
+        sig = sig[order]
+        columns = {n: each(k, t)[order] for n, k, t in (("node", 1, np.uint64), ("spare", 2, np.uint8), ("scheme", 3, np.uint8), ("size", 4, np.uint32))}
+        bucket = ((sig >> np.uint64(20)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.int64)
+        edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        mark = np.array([SIGNATURES], np.uint8)
+        rows = []
+        for a, b in zip(edge.tolist(), np.concatenate((edge[1:], [len(sig)])).tolist(), strict=True):
+            # differences of sorted signatures have few high bytes
+            rows.append(_pack(kind=mark, step=np.diff(sig[a:b], prepend=np.uint64(0)), **{k: v[a:b] for k, v in columns.items()}))
+        return pa.record_batch([pa.array(bucket[edge].astype(np.int32)), pa.array(rows, pa.binary())], schema=_SCHEMA)
+
+    def meet(self, table: pa.Table) -> pa.Table:
+        """Pairs of cheap signatures, and how many hot ones each set has in each scheme."""
+        out, rows = [_FOUND_SCHEMA.empty_table()], []
+        for body in table.column("body").to_pylist():
+            x = _unpack(body)
+            if x["kind"][0] == SIGNATURES:
+                rows.append((np.cumsum(x["step"], dtype=np.uint64), x["node"], x["spare"], x["scheme"], x["size"]))
+                continue
+            raw = x["prints"].tobytes()
+            prints = [raw[16 * k : 16 * k + 16] if n else None for k, n in enumerate(x["size"].tolist())]
+            node = x["prints"].reshape(-1, 16)[:, :8].copy().view(np.int64).ravel()
+            out.append(_found(EACH, x["doc"], x["size"], node, x["key"], prints, x["none"] > 0))
+        if rows:
+            sig, node, spare, scheme, size = (np.concatenate(c) for c in zip(*rows, strict=True))
+            del rows
+            # what is alone in its signature has no partner
             order = np.argsort(sig, kind="stable")
-            sig, node, spare, sizes = sig[order], node[order], spare[order], sizes[order]
-            bucket = ((sig >> np.uint64(20)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.int64)
-            edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-            for a, b in zip(edge.tolist(), np.concatenate((edge[1:], [len(sig)])).tolist(), strict=True):
-                # differences of sorted signatures have few high bytes
-                step = np.diff(sig[a:b], prepend=np.uint64(0))
-                body = _pack(kind=np.array([SIGNATURES], np.uint8), slot=np.array([slot]), step=step, node=node[a:b], spare=spare[a:b], size=sizes[a:b])
-                out.append((int(bucket[a]), body))
-        return _rows(out)
-
-    def _by_signature(self, rows: list[dict[str, np.ndarray]]) -> tuple[np.ndarray, ...]:
-        sig = np.concatenate([np.cumsum(r["step"], dtype=np.uint64) for r in rows])
-        node = np.concatenate([r["node"].astype(np.int64) | int(r["slot"][0]) << 32 for r in rows])
-        spare, size = _cat(rows, "spare", "size")
-        order = np.lexsort((node, sig))
-        sig, node, spare, size = sig[order], node[order], spare[order], size[order]
-        keep = np.concatenate(([True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])))
-        sig, node, spare, size = sig[keep], node[keep], spare[keep], size[keep].astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-        count = np.diff(np.concatenate((first, [len(sig)])))
-        alone = np.repeat(count == 1, count)
-        sig, node, spare, size = sig[~alone], node[~alone], spare[~alone], size[~alone]
-        count = count[count > 1]
-        return sig, node, spare, size, count
-
-    def candidates(self, table: pa.Table) -> pa.Table:
-        """Pairs of cheap signatures; of hot ones pairs with the first node, and notices to all nodes."""
-        found = _read(table)
-        out = [(int(x["slot"][0]), _pack(**x)) for kind in (NODES, EACH) for x in found.get(kind, [])]
-        if rows := found.get(SIGNATURES):
-            sig, node, spare, size, count = self._by_signature(rows)
-            first = np.cumsum(count) - count
+            sig = sig[order]
+            same = sig[1:] == sig[:-1]
+            kept = np.flatnonzero(np.concatenate((same, [False])) | np.concatenate(([False], same)))
+            sig, order = sig[kept], order[kept]
+            node, spare, scheme, size = node[order], spare[order], scheme[order], size[order].astype(np.int64)
+            order = np.lexsort((node, sig))
+            sig, node, spare, scheme, size = sig[order], node[order], spare[order], scheme[order], size[order]
+            kept = np.ones(len(sig), bool)
+            kept[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+            sig, node, spare, scheme, size = sig[kept], node[kept], spare[kept], scheme[kept], size[kept]
+            first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.empty(0, np.int64)
+            count = np.diff(np.concatenate((first, [len(sig)])))
             hot = np.repeat(count > self.few, count)
-            lead = np.repeat(first, count)
-            pairs = [(lead[hot], np.flatnonzero(hot))]
+            pairs = []
+            cheap = np.flatnonzero(~hot)
             for d in range(1, self.few):
-                i = np.flatnonzero(~hot)
-                i = i[i + d < len(sig)]
+                i = cheap[cheap + d < len(sig)]
                 i = i[sig[i] == sig[i + d]]
-                pairs.append((i, i + d))
-            a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-            fits = (a != b) & (100 * np.minimum(size[a], size[b]) >= self.percent * np.maximum(size[a], size[b]))
-            a, b = np.minimum(node[a[fits]], node[b[fits]]), np.maximum(node[a[fits]], node[b[fits]])
+                i = i[100 * np.minimum(size[i], size[i + d]) >= self.percent * np.maximum(size[i], size[i + d])]
+                pairs.append((node[i], node[i + d]))
+            a, b = np.concatenate([p[0] for p in pairs]).view(np.int64), np.concatenate([p[1] for p in pairs]).view(np.int64)
             if len(a):
                 a, b = np.unique(np.stack((a, b)), axis=1)
-            out += _by(a >> 32, PAIRS, a=a, b=b)
-            many = np.repeat(count, count)
-            # a thin document's own signatures are all needed: its room is used up
-            out += _by(node[hot] >> 32, NOTICES, sig=sig[hot], node=node[hot], spare=spare[hot], size=size[hot], count=many[hot])
-        return _rows(out)
-
-    def send(self, texts_: pa.Table, table: pa.Table) -> pa.Table:
-        """The texts of the pairs' first nodes to the slots of the second ones."""
-        out = []
-        found = _read(table)
-        for kind in (NODES, EACH, NOTICES):
-            out += [(int(x["node"][0] >> 32) if kind == NOTICES else int(x["slot"][0]), _pack(**x)) for x in found.get(kind, [])]
-        if rows := found.get(PAIRS):
-            _, raws = self.nodes(texts_)
-            a, b = np.unique(np.stack(_cat(rows, "a", "b")), axis=1)
-            to = b >> 32
-            order = np.lexsort((a, to))
-            a, b, to = a[order], b[order], to[order]
-            edge = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
-            for x, y in zip(edge.tolist(), np.concatenate((edge[1:], [len(to)])).tolist(), strict=True):
-                own, at = np.unique(a[x:y], return_inverse=True)
-                text = [raws[k] for k in (own & 0xFFFFFFFF).tolist()]
-                out.append(
-                    (
-                        int(to[x]),
-                        _pack(
-                            kind=np.array([SETS], np.uint8),
-                            own=own,
-                            length=np.array([len(t) for t in text], np.int64),
-                            text=np.frombuffer(b"".join(text), np.uint8),
-                            at=at.astype(np.uint32),
-                            b=b[x:y],
-                        ),
-                    )
-                )
-        return _rows(out)
+                out.append(_found(PAIR, a, b, np.zeros(len(a), np.int64)))
+            if hot.any():
+                own = np.stack((node[hot].view(np.int64), scheme[hot].astype(np.int64) << 8 | spare[hot]))
+                own, many = np.unique(own, axis=1, return_counts=True)
+                out.append(_found(HOT, own[0], own[1], many))
+        return pa.concat_tables(out)
+
+    def fetch(self, batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Sets of the texts that the map lets pass, with one text of each."""
+        seen: set[bytes] = set()
+        for batch in batches:
+            key = np.asarray(batch.column("key").to_numpy(zero_copy_only=False), np.int64).view(np.uint64) & np.uint64((1 << _MAP_BITS) - 1)
+            at = np.flatnonzero(wanted[(key >> np.uint64(3)).astype(np.int64)] >> (key & np.uint64(7)).astype(np.uint8) & 1)
+            prints, raws, sizes = [], [], []
+            for raw in _bytes(batch.column("text").take(pa.array(at))):
+                own = shingles(raw, self.size)
+                if len(own) and (f := _fingerprint(own)) not in seen:
+                    seen.add(f)
+                    prints.append(f)
+                    raws.append(raw)
+                    sizes.append(len(own))
+            if len(seen) > 1_000_000:
+                seen.clear()
+            yield pa.record_batch([pa.array(prints, pa.binary()), pa.array(raws, pa.binary()), pa.array(sizes, pa.int64())], names=["print", "raw", "n"])
 
-    def verify(self, texts_: pa.Table, table: pa.Table) -> pa.Table:
-        """Pairs whose sets are similar enough."""
-        out = []
-        found = _read(table)
-        for kind in (NODES, EACH, NOTICES):
-            out += [(kind, _pack(**x)) for x in found.get(kind, [])]
-        rows = found.get(SETS, [])
-        if rows:
-            _, raws = self.nodes(texts_)
-            known: dict[int, np.ndarray] = {}
-            a, b = [], []
-            for x in rows:
-                raw, end = x["text"].tobytes(), np.cumsum(x["length"])
-                other: dict[int, np.ndarray] = {}
-                for k, node in zip(x["at"].tolist(), x["b"].tolist(), strict=True):
-                    if (left := other.get(k)) is None:
-                        left = other[k] = shingles(raw[end[k] - x["length"][k] : end[k]], self.size)
-                    if (right := known.get(node)) is None:
-                        if len(known) > 2000:
-                            known.clear()
-                        right = known[node] = shingles(raws[node & 0xFFFFFFFF], self.size)
-                    if linked(left, right, self.percent):
-                        a.append(int(x["own"][k]))
-                        b.append(node)
-            if a:
-                out.append((LINKS, _pack(kind=np.array([LINKS], np.uint8), a=np.array(a, np.int64), b=np.array(b, np.int64))))
-        return _rows(out)
-
-    def needs(self, notices: pa.Table, labels: pa.Table) -> pa.Table:
-        """Nodes of hot signatures with their components, and whether they need the signature; by signature."""
-        rows = [_unpack(x) for x in notices.column("body").to_pylist()]
-        if not rows:
-            return _rows([])
-        sig, node, spare, size, count = _cat(rows, "sig", "node", "spare", "size", "count")
-        label = node.copy()
-        if labels.num_rows:
-            own, to = labels.column("node").to_numpy(), labels.column("label").to_numpy()
-            order = np.argsort(own)
-            at = np.minimum(np.searchsorted(own[order], node), len(own) - 1)
-            label = np.where(own[order][at] == node, to[order][at], node)
-        # hot signatures of a node with one room come from one scheme or several with equal room; cheapest first
-        order = np.lexsort((count, spare, node))
-        sig, node, spare, size, label, count = sig[order], node[order], spare[order], size[order], label[order], count[order]
-        first = np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (spare[1:] != spare[:-1]))))
-        n = np.diff(np.concatenate((first, [len(node)])))
-        rank = np.arange(len(node)) - np.repeat(first, n)
-        # of n hot ones, the n - spare cheapest make up for what is missing
-        need = (spare == 0xFFFF) | (rank < np.repeat(n, n) - spare.astype(np.int64))
-        bucket = ((sig >> np.uint64(20)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.int64)
-        return _rows(_by(bucket, NOTICES, sig=sig, node=node, size=size, label=label, need=need.view(np.uint8)))
-
-    def rest(self, table: pa.Table) -> pa.Table:
-        """Pairs of a node that needs a hot signature with the signature's nodes of other components."""
-        rows = [_unpack(x) for x in table.column("body").to_pylist()]
-        sig, node, size, label, need = _cat(rows, "sig", "node", "size", "label", "need")
-        order = np.lexsort((node, sig))
-        sig, node, size, label, need = sig[order], node[order], size[order], label[order], need[order] > 0
-        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-        out: list[np.ndarray] = []
-        for x, y in zip(first.tolist(), np.concatenate((first[1:], [len(sig)])).tolist(), strict=True):
-            if not need[x:y].any() or (label[x:y] == label[x]).all():
-                continue
-            # one of each pair is outside the largest component, so only those are gone through
-            _, at, many = np.unique(label[x:y], return_inverse=True, return_counts=True)
-            for k in (np.flatnonzero(at != many.argmax()) + x).tolist():
-                other = (label[x:y] != label[k]) & (100 * np.minimum(size[x:y], size[k]) >= self.percent * np.maximum(size[x:y], size[k]))
-                if not need[k]:
-                    other &= need[x:y]
-                other = np.flatnonzero(other) + x
-                if len(other):
-                    out.append(np.stack((np.minimum(node[other], node[k]), np.maximum(node[other], node[k]))))
-            if len(out) > 1000:
-                out = [np.unique(np.concatenate(out, axis=1), axis=1)]
-        if not out:
-            return _rows([])
-        a, b = np.unique(np.concatenate(out, axis=1), axis=1)
-        return _rows(_by(a >> 32, PAIRS, a=a, b=b))
-
-
-def _unpacked(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def elements(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for body in batch.column("body").to_pylist():
-                yield fn(_unpack(body))
+            sets = [shingles(raw, self.size) for raw in batch.column("raw").to_pylist()]
+            if not sets:
+                continue
+            at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            yield pa.record_batch([batch.column("print").take(pa.array(at)), batch.column("n").take(pa.array(at)), pa.array(np.concatenate(sets).view(np.int64))], names=["print", "n", "element"])
+
+    def send(self, sets: pa.Table, pairs: pa.Table) -> pa.Table:
+        """The texts of the pairs' first sets to the slots of the second ones."""
+        raws = dict(zip(sets.column("print").to_pylist(), sets.column("raw").to_pylist(), strict=True))
+        to = pairs.column("to").to_numpy()
+        order = np.argsort(to, kind="stable")
+        a, b = pairs.column("a").take(pa.array(order)).to_pylist(), pairs.column("b").take(pa.array(order)).to_pylist()
+        to = to[order]
+        edge = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else np.empty(0, np.int64)
+        rows = []
+        for x, y in zip(edge.tolist(), np.concatenate((edge[1:], [len(to)])).tolist(), strict=False):
+            place = {p: k for k, p in enumerate(dict.fromkeys(a[x:y]))}
+            text = [raws[p] for p in place]
+            rows.append(
+                _pack(
+                    own=np.frombuffer(b"".join(place), np.uint8),
+                    length=np.array([len(t) for t in text], np.int64),
+                    text=np.frombuffer(b"".join(text), np.uint8),
+                    at=np.array([place[p] for p in a[x:y]], np.uint32),
+                    b=np.frombuffer(b"".join(b[x:y]), np.uint8),
+                )
+            )
+        return pa.table([pa.array(to[edge].astype(np.int32)), pa.array(rows, pa.binary())], schema=_SCHEMA)
 
-    return df.mapInArrow(run, schema)
+    def verify(self, sets: pa.Table, sent: pa.Table) -> pa.Table:
+        """Pairs whose sets are similar enough."""
+        raws = dict(zip(sets.column("print").to_pylist(), sets.column("raw").to_pylist(), strict=True))
+        known: dict[bytes, np.ndarray] = {}
+        a, b, size = [], [], 0
+        for body in sent.column("body").to_pylist():
+            x = _unpack(body)
+            raw, end = x["text"].tobytes(), np.cumsum(x["length"])
+            own, second = x["own"].tobytes(), x["b"].tobytes()
+            other: dict[int, np.ndarray] = {}
+            for i, k in enumerate(x["at"].tolist()):
+                right = second[16 * i : 16 * i + 16]
+                if (left_set := other.get(k)) is None:
+                    left_set = other[k] = shingles(raw[end[k] - x["length"][k] : end[k]], self.size)
+                if (right_set := known.get(right)) is None:
+                    right_set = shingles(raws[right], self.size)
+                    size += len(right_set)
+                    if size > 8_000_000:
+                        known, size = {}, len(right_set)
+                    known[right] = right_set
+                if linked(left_set, right_set, self.percent):
+                    a.append(own[16 * k : 16 * k + 16])
+                    b.append(right)
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -457,88 +368,142 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
 
 
-def join(
-    docs: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    size: int = 5,
-    percent: int = 80,
-    few: int = 8,
-) -> DataFrame:
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A map of ``_MAP_BITS`` bits of the keys' last bits, made by words of 64 bits; its size does not depend on the keys."""
+    word = F.shiftright(F.col("key").bitwiseAND((1 << _MAP_BITS) - 1), 6).cast("int")
+    bit = F.expr("shiftleft(1L, cast(key & 63 as int))")
+    out = np.zeros(1 << (_MAP_BITS - 6), np.int64)
+    for at, bits in keys.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toLocalIterator():
+        out[at] = bits
+    return out.view(np.uint8)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, j: Join) -> DataFrame:
+    """(a, b) of the pairs that are linked.  ``a`` may have any number of partners: beyond ``_PARTNERS`` its
+    text is sent from several slots; ``b`` should have few."""
+    salts = pairs.groupBy(F.col("a").alias("print")).agg(F.ceil(F.count("*") / _PARTNERS).alias("salts"))
+    slot = lambda *c: F.pmod(F.xxhash64(*c), F.lit(j.parts)).cast("int")
+    first = sets.join(salts, "print").select("print", "raw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    first = first.select(slot("print", "salt").alias("slot"), "print", "raw")
+    asked = pairs.join(salts.withColumnRenamed("print", "a"), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
+    asked = asked.select(slot("a", "salt").alias("slot"), slot("b").alias("to"), "a", "b")
+    sent = first.groupBy("slot").cogroup(asked.groupBy("slot")).applyInArrow(lambda x, y: j.send(x, y), _ROWS)
+    second = sets.join(pairs.select(F.col("b").alias("print")).distinct(), "print", "left_semi").select(slot("print").alias("slot"), "print", "raw")
+    return second.groupBy("slot").cogroup(sent.groupBy("slot")).applyInArrow(lambda x, y: j.verify(x, y), "a binary, b binary")
+
+
+def _near_size(j: Join, x: str, y: str):
+    return 100 * F.least(x, y) >= j.percent * F.greatest(x, y)
+
+
+def _asks(sets: DataFrame, j: Join) -> DataFrame:
+    """print, n, rare, element, count: of each poor set its cheapest elements, as many as a partner cannot all miss, as
+    far as other poor sets have them; ``rare``: elements of the set that are not hot."""
+    each = sets.select("print", "n", "raw").mapInArrow(j.elements, "print binary, n long, element long")
+    shared = each.groupBy("element").agg(F.count("*").alias("count")).where("count > 1")
+    by_set = each.join(shared, "element").groupBy("print", "n").agg(F.sort_array(F.collect_list(F.struct("count", "element"))).alias("e"))
+    alone = F.col("n") - F.size("e")
+    hot = F.size(F.filter("e", lambda s: s["count"] > j.few))
+    need = F.col("n") - F.floor((F.col("n") * j.percent + 99) / 100) + 1 - alone
+    by_set = by_set.select("print", "n", (F.col("n") - hot).alias("rare"), F.slice("e", F.lit(1), F.greatest(need, F.lit(0)).cast("int")).alias("e"))
+    return by_set.select("print", "n", "rare", F.explode("e").alias("e")).select("print", "n", "rare", "e.element", "e.count")
+
+
+def _cheap_pairs(asks: DataFrame, j: Join) -> DataFrame:
+    """Pairs that ask with one cheap element; it has ``few`` sets at most."""
+    cheap = asks.where(F.col("count") <= j.few)
+    x, y = (cheap.select("element", F.col("print").alias(p), F.col("n").alias(n)) for p, n in (("a", "na"), ("b", "nb")))
+    return x.join(y, "element").where((F.col("a") < F.col("b")) & _near_size(j, "na", "nb")).select("a", "b")
+
+
+def _stars(asks: DataFrame, j: Join) -> DataFrame:
+    """Each set that asks with a hot element, and that of the element's sets with the fewest rare elements."""
+    hot = asks.where(F.col("count") > j.few)
+    lead = hot.groupBy("element").agg(F.min(F.struct("rare", F.col("print").alias("a"), F.col("n").alias("na"))).alias("lead")).select("element", "lead.a", "lead.na")
+    return hot.join(lead, "element").where((F.col("a") != F.col("print")) & _near_size(j, "na", "n")).select("a", F.col("print").alias("b"))
+
+
+def _rest(asks: DataFrame, labels: DataFrame, j: Join) -> DataFrame:
+    """Pairs of sets of different components that ask with one hot element, and whose hot parts may be enough.
+
+    Only sets outside an element's largest component ask.  Of a pair, ``a`` is that with fewer rare elements.
+    """
+    hot = asks.where(F.col("count") > j.few).join(labels.withColumnRenamed("node", "print"), "print", "left")
+    hot = hot.select("element", "print", "n", "rare", F.coalesce("label", "print").alias("label"))
+    # a partner's hot part is as large as one's own at most
+    hot = hot.where((100 + j.percent) * (F.col("n") - F.col("rare")) >= 2 * j.percent * (F.col("n") - F.col("rare")) + j.percent * F.col("rare"))
+    by_label = hot.groupBy("element", "label").agg(F.count("*").alias("sets"))
+    largest = by_label.groupBy("element").agg(F.max(F.struct("sets", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    hot = hot.join(largest.select("element", F.col("most.label").alias("most")), "element")
+    x = hot.where("label <> most").select("element", *[F.col(c).alias(f"{c}_x") for c in ("print", "n", "rare", "label")])
+    both = x.join(hot, "element").where("label <> label_x")
+    may = (100 + j.percent) * F.least(F.col("n") - F.col("rare"), F.col("n_x") - F.col("rare_x")) >= j.percent * (F.col("n") + F.col("n_x"))
+    low = F.struct("rare", "print") < F.struct(F.col("rare_x").alias("rare"), F.col("print_x").alias("print"))
+    return both.where(may).select(F.when(low, F.col("print")).otherwise(F.col("print_x")).alias("a"), F.when(low, F.col("print_x")).otherwise(F.col("print")).alias("b")).distinct()
+
+
+def classes(docs: DataFrame, *, size: int = 5, percent: int = 80, few: int = 8) -> DataFrame:
+    """doc_id, n_shingles, key, print, label of every row of (doc_id, text).
+
+    ``key``: xxhash64 of the text; ``print``: 128-bit hash of the set, null if empty; ``label``: the smallest print
+    that links reach.
+    """
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    j = Join(size, percent, slots(docs), few)
+    posted = docs.mapInArrow(j.post, _ROWS)
+    found = written(posted.groupBy("slot").applyInArrow(lambda t: j.meet(t), _FOUND))
+    each = found.where(F.col("kind") == EACH).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("node"), F.col("d").alias("key"), "print")
+    node = each.where("print is not null").groupBy("print").agg(F.min("key").alias("key"), F.first("node").alias("node"))
+    pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct()
+    hot = found.where(F.col("kind") == HOT).groupBy("a", "b").agg(F.sum("c").alias("hot"))
+    poor = hot.where(((F.col("b") % 256) != j.ANY) & (F.col("hot") > F.col("b") % 256)).select(F.col("a").alias("node")).distinct()
+    known = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(poor).distinct()
+    wanted = written(node.join(known, "node").join(poor.withColumn("poor", F.lit(True)), "node", "left"))
+    bits = _bitmap(wanted)
+    fetched = docs.mapInArrow(lambda batches: j.fetch(batches, bits), "print binary, raw binary, n long").dropDuplicates(["print"])
+    sets = written(fetched.join(wanted.select("print", "poor"), "print"))
+    first, second = (wanted.select(F.col("node").alias(c), F.col("print").alias(f"{c}_print")) for c in ("a", "b"))
+    pairs = pairs.join(first, "a").join(second, "b").select(F.col("a_print").alias("a"), F.col("b_print").alias("b"))
+
+    asks = written(_asks(sets.where("poor"), j))
+    pairs = written(pairs.union(_cheap_pairs(asks, j)).union(_stars(asks, j)).distinct())
+    labels = written(components(_verified(pairs, sets, j)))
+    rest = written(_rest(asks, labels, j))
+    if not rest.isEmpty():
+        old = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+        labels = written(components(_verified(rest, sets, j).union(old)))
+    each = each.join(labels.withColumnRenamed("node", "print"), "print", "left")
+    return each.select("doc_id", "n_shingles", "key", "print", F.coalesce("label", "print").alias("label"))
+
+
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, few: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
     Documents link when 100 * intersection >= ``percent`` * union of their sets of ``size``-word shingles.
     component_id: the smallest id that links reach.  A document without words has an empty set, links with nothing
     and is its own component; a null id counts only where no other reaches it, and is then null.
     """
-    docs = texts(docs, id_col, text_col)
-    parts = slots(docs.sparkSession)
-    j = Join(size, percent, parts, few)
-    by = lambda df: df.groupBy("slot")
-
-    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        sent = by(sets).cogroup(by(pairs)).applyInArrow(lambda a, b: j.send(a, b), _ROWS)
-        return by(sets).cogroup(by(sent)).applyInArrow(lambda a, b: j.verify(a, b), _ROWS)
-
-    kinds = "slot int, print binary, raw binary, place long"
-    sets = docs.mapInArrow(j.sets, kinds)
-    indexed = by(sets).applyInArrow(lambda t: j.index(t), _ROWS)
-    found = written(verified(by(indexed).applyInArrow(lambda t: j.candidates(t), _ROWS), sets))
-    pair = lambda x: pa.record_batch([pa.array(x["a"]), pa.array(x["b"])], names=["a", "b"])
-    links = _unpacked(found.where(F.col("slot") == LINKS), pair, "a long, b long")
-    labels = written(components(links))
-
-    def noticed(x: dict) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([int(x["node"][0]) >> 32], pa.int32()), pa.array([_pack(**x)], pa.binary())], schema=_SCHEMA)
-
-    def named(x: dict) -> pa.RecordBatch:
-        raw = x["prints"].tobytes()
-        prints = [raw[k : k + 16] for k in range(0, len(raw), 16)]
-        return pa.record_batch([pa.array(np.arange(len(prints)) | int(x["slot"][0]) << 32), pa.array(prints, pa.binary())], names=["node", "print"])
-
-    nodes = _unpacked(found.where(F.col("slot") == NODES), named, "node long, print binary").distinct()
-
-    def one_by_one(x: dict) -> pa.RecordBatch:
-        raw, sizes = x["prints"].tobytes(), x["size"]
-        prints = [raw[16 * k : 16 * k + 16] if n else None for k, n in enumerate(sizes.tolist())]
-        return pa.record_batch([pa.array(x["doc"], mask=x["none"] > 0), pa.array(sizes), pa.array(prints, pa.binary())], names=["doc_id", "n_shingles", "print"])
-
-    each = _unpacked(found.where(F.col("slot") == EACH), one_by_one, "doc_id long, n_shingles long, print binary")
-    lows = each.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("low"))
-    notices = _unpacked(found.where(F.col("slot") == NOTICES), noticed, _ROWS)
-    labelled = labels.select(F.shiftright("node", 32).cast("int").alias("slot"), "node", "label")
-    need = by(notices).cogroup(by(labelled)).applyInArrow(lambda a, b: j.needs(a, b), _ROWS)
-    rest = written(by(need).applyInArrow(lambda t: j.rest(t), _ROWS))
-    if not rest.isEmpty():
-        # few sets: only their texts move again; many: all do
-        ends = _unpacked(rest, pair, "a long, b long")
-        ends = ends.select("a").union(ends.select("b")).distinct().join(nodes, F.col("a") == F.col("node")).join(lows, "print")
-        ends = written(ends.select("node", "print", "low"))
-        again = sets
-        if ends.count() <= _WANTED:
-            rows = [(r["node"], bytes(r["print"]), r["low"]) for r in ends.toLocalIterator()]
-            ids, wanted = {low for *_, low in rows}, {p: n for n, p, _ in rows}
-            again = docs.mapInArrow(lambda batches: j.chosen(batches, ids, wanted), kinds)
-        more = _unpacked(verified(rest, again).where(F.col("slot") == LINKS), pair, "a long, b long")
-        old = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
-        labels = written(components(more.union(old)))
-
-    first = lows.join(nodes, "print").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    lowest = first.groupBy("label").agg(F.min("low").alias("component"))
-    by_set = first.join(lowest, "label").select("print", "component")
-    return each.join(by_set, "print", "left").select("doc_id", "n_shingles", F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    each = classes(texts(docs, id_col, text_col), size=size, percent=percent, few=few)
+    lowest = each.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component"))
+    return each.join(lowest, "label", "left").select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """The rows of ``docs``, with all their columns, of one document of each group of linked ones: that with the smallest id.
+    """The rows of ``docs``, with all their columns, of one document of each group of linked ones: that with the smallest
+    id (nulls last), of several texts with that id the one with the smallest hash.
 
-    Rows with equal id and text are one document; a document without words stays.
+    Rows with equal id and text are one document; of rows that differ in other columns only, the one with the smallest
+    hash of all columns stays.  A document without words stays.
     """
-    found = join(docs, id_col=id_col, text_col=text_col, **options)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay")).distinct()
+    each = classes(texts(docs, id_col, text_col), **options)
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    stay = each.where("label is not null").groupBy("label").agg(F.min(name).alias("s")).select("s.doc_id", "s.key")
+    stay = stay.union(each.where("label is null").select("doc_id", "key")).distinct().select(F.col("doc_id").alias("stay"), F.col("key").alias("stay_key"))
     # the row as one column, so that no name of it can clash
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("text"))
-    rows = rows.join(stay, rows["id"].eqNullSafe(stay["stay"]), "left_semi")
-    same = Window.partitionBy("id", "text").orderBy("id")
+    text = docs[text_col].cast("string")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("id"), F.xxhash64(text).alias("key"))
+    rows = rows.join(stay, rows["id"].eqNullSafe(stay["stay"]) & (rows["key"] == stay["stay_key"]), "left_semi")
+    # maps cannot be hashed
+    plain = [F.col("row")[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    same = Window.partitionBy("id", "key").orderBy(F.xxhash64(*plain))
     return rows.withColumn("copy", F.row_number().over(same)).where("copy = 1").select(*[F.col("row")[c].alias(c) for c in docs.columns])

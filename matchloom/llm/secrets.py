@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import BATCH_ROWS, map_batches, written
+from matchloom.llm.common import bounded, map_batches, written
 
 # Kinds in reporting order, their patterns, least lengths of what is in the value group.
 BASE = {
@@ -84,7 +84,7 @@ def listed(found: list) -> str:
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
     """doc_id, text_key (hash of the text), owner, repo, found: the candidates of every row, with the hash of each value."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bounded(docs.sparkSession)
     rows = docs.select(
         docs[id_col].cast("long").alias("doc_id"),
         docs[text_col].cast("string").alias("text"),

@@ -489,7 +489,7 @@ def covered(docs: DataFrame, t: Tokens, order: Callable, finish: Callable, schem
     ``docs``: doc_id, text.  A null id counts as larger than all others.
     """
     docs = texts(docs)
-    parts = slots(docs.sparkSession)
+    parts = slots(docs)
     buckets = parts
     names = [c.split(" ")[0] for c in schema.split(", ")]
     anchors = docs.mapInArrow(_anchor_rows(t, buckets, parts), _ROWS)
