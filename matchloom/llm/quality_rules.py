@@ -1,19 +1,24 @@
 """Quality rules: hashed n-gram log-likelihood ratio between trusted target and raw corpus.
 
-Every document is a bag of hashed n-grams, unigrams and bigrams of word
-endings (the last ``ending`` characters of a word; a word said twice in a row is
-one bigram, whatever the word).  Two multinomials over ``buckets`` buckets are
-counted over all documents: one of the trusted target, the documents labelled
-good, and one of the whole raw corpus.  A document's score is its mean
-log-likelihood ratio per n-gram; it is kept if it passes the base rules and its
-score is at least ``least``.  Ratios are whole millionths, so sums do not depend
+Every document is a bag of hashed n-grams, its whole words and pairs of neighbouring
+words, as they are.  Two multinomials over ``buckets`` buckets are counted over all
+documents: one of the trusted target, one of the whole raw corpus.  A document's score
+is its mean log-likelihood ratio per n-gram; it is kept if it passes the base rules and
+its score is at least the threshold.  Ratios are whole millionths, so sums do not depend
 on the order of rows and the verdict is deterministic.
 
-DataFrame functions only.  The table of ratios has ``buckets`` rows, whatever the
-corpus.  Counting sends each text once to its label; scoring shuffles nothing.
+The threshold comes from labels that the target has no part in: a fifth of the trusted and
+rejected ids, by crc32 of the id, is held out.  It is half way between the score that 99 of
+100 held-out trusted documents reach and the one that 99 of 100 held-out rejected documents
+stay below, among those that pass the base rules.  Without rejected ones it lies as far
+below the former as that lies below the trusted median; without trusted ones all scores are
+0 and nothing is below the threshold.
 
-A null text has no words; a text without n-grams has score 0; without a trusted
-document all scores are 0.  Null ids have no label; repeated rows count each.
+DataFrame functions only.  The table of ratios has ``buckets`` rows, whatever the corpus.
+Nothing is shuffled but counts, and texts where the trusted ids are too many to be sent along.
+
+A null text has no words; a text without n-grams has score 0.  Null ids have no label; an
+id that is both trusted and rejected is trusted; repeated rows count each.
 """
 
 from __future__ import annotations
@@ -21,11 +26,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.llm.common import written
+
 # The white space that separates words, and symbols that are counted.
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-BUCKETS, ENDING, SCALE, LEAST = 1 << 16, 3, 1_000_000, -0.3
-WINDOW = 8
+BUCKETS, SCALE = 1 << 18, 1_000_000
+WINDOW, HELD_OUT = 8, 5
 
 
 def _let(value, body):
@@ -38,22 +45,26 @@ def words(text):
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES)), " "), "")
 
 
-def grams(w, buckets: int, ending: int):
-    """Buckets of the n-grams of an array column of words; bucket 0 is that of a repeated word."""
-    bucket = lambda *x: (F.pmod(F.xxhash64(*x), F.lit(buckets - 1)) + 1).cast("int")
-    last = lambda x: F.substring(x, -ending, ending)
-    one = F.transform(w, lambda x: bucket(last(x)))
-    following = F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0)))
-    # zip_with reads a missing partner of the last word as null
-    two = F.zip_with(w, following, lambda x, y: F.when(y.isNull(), None).when(x == y, 0).otherwise(bucket(last(x), last(y))))
-    return F.concat(one, F.filter(two, lambda b: b.isNotNull()))
+def _joined(h: str, step: int):
+    """Hashes of each element and the one ``step`` places on, of an array column of hashes."""
+    n = F.greatest(F.size(h) - step, F.lit(0))
+    return F.transform(F.slice(h, F.lit(1), n), lambda x, i: F.xxhash64(x, F.get(h, i + step)))
+
+
+def grams(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``h``, hashes of the words of ``text``, and ``pairs``, those of neighbouring words."""
+    hashed = docs.withColumn("h", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)))
+    return hashed.withColumn("pairs", _joined("h", 1))
+
+
+def _bucket(h, buckets: int):
+    return h.bitwiseAND(buckets - 1).cast("int")
 
 
-def ratios(docs: DataFrame, trusted: DataFrame, buckets: int, ending: int) -> DataFrame:
-    """One row: the array of log-likelihood ratios by bucket, in whole millionths."""
-    good = trusted.where("doc_id is not null").select("doc_id").distinct().withColumn("good", F.lit(1))
-    marked = docs.join(good.hint("shuffle_hash"), "doc_id", "left").select("good", words(F.col("text")).alias("w"))
-    each = marked.select("good", F.explode(grams(F.col("w"), buckets, ending)).alias("bucket"))
+def ratios(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
+    """One row: the array of log-likelihood ratios by bucket, in whole millionths.  ``buckets``: a power of two."""
+    marked = docs.join(trusted.withColumn("good", F.lit(1)), "doc_id", "left")
+    each = grams(marked).select("good", F.explode(F.concat("h", "pairs")).alias("h")).select("good", _bucket(F.col("h"), buckets).alias("bucket"))
     counts = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("target"))
     dense = docs.sparkSession.range(buckets).join(counts, F.col("id") == F.col("bucket"), "left")
     count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
@@ -65,57 +76,65 @@ def ratios(docs: DataFrame, trusted: DataFrame, buckets: int, ending: int) -> Da
     return table.select(F.when(F.col("targets") > 0, known).otherwise(F.transform("t", lambda s: F.lit(0).cast("long"))).alias("ratios"))
 
 
+def _threshold(scored: DataFrame, held: DataFrame) -> DataFrame:
+    """One row: the threshold, in whole millionths, from the scores of held-out trusted (1) and rejected (0) documents."""
+    # scores to a thousandth: exact percentiles of a bounded number of values
+    known = scored.where(~F.col("base_failed")).join(held, "doc_id").select("good", F.round(F.col("score"), 3).alias("score"))
+    part = lambda good, share: F.percentile(F.when(F.col("good") == good, F.col("score")), F.lit(share))
+    at = known.agg(part(1, 0.01).alias("low"), part(1, 0.5).alias("middle"), part(0, 0.99).alias("high"))
+    half = F.coalesce((F.col("low") + F.col("high")) / 2, 2 * F.col("low") - F.col("middle"), F.lit(float("-inf")))
+    return at.select(half.alias("threshold"))
+
+
 def rules(
     docs: DataFrame,
     trusted: DataFrame,
+    rejected: DataFrame,
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    trusted_id_col: str = "doc_id",
+    label_id_col: str = "doc_id",
     buckets: int = BUCKETS,
-    ending: int = ENDING,
-    least: float = LEAST,
 ) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept of every row."""
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    trusted = trusted.select(trusted[trusted_id_col].cast("long").alias("doc_id"))
-    table = ratios(docs, trusted, buckets, ending).scalar()
+    labels = trusted.select(trusted[label_id_col].cast("long").alias("doc_id"), F.lit(1).alias("good"))
+    labels = labels.union(rejected.select(rejected[label_id_col].cast("long").alias("doc_id"), F.lit(0).alias("good")))
+    labels = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("good").alias("good"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT == 0
+    table = ratios(docs, labels.where((F.col("good") == 1) & ~held).select("doc_id"), buckets).scalar()
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACES, "") != "")
-    rows = docs.select(
+    rows = grams(docs).select(
         "doc_id",
-        table.alias("ratios"),
-        words(F.col("text")).alias("w"),
+        "h",
+        "pairs",
         F.char_length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
         (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        table.alias("ratios"),
     )
-    hashed = F.transform("w", lambda x: F.xxhash64(x))
-    starts = F.sequence(F.lit(1), F.size("w") - (WINDOW - 1))
-    windows = _let(hashed, lambda h: F.transform(starts, lambda k: F.xxhash64(F.slice(h, k, WINDOW))))
-    windows = F.when(F.size("w") >= WINDOW, windows).otherwise(F.array().cast("array<bigint>"))
-    score = lambda g: F.aggregate(g, F.lit(0).cast("long"), lambda total, b: total + F.get("ratios", b))
-    rows = rows.select(
-        "*",
-        windows.alias("windows"),
-        _let(grams(F.col("w"), buckets, ending), lambda g: F.struct(score(g).alias("sum"), F.size(g).cast("long").alias("n"))).alias("ratio"),
-    )
-    return rows.select(
+    total = lambda known, h: F.aggregate(h, F.lit(0).cast("long"), lambda n, x: n + F.get(known, _bucket(x, buckets)))
+    # a subquery may stand in a lambda only once the optimizer has put it there; the table is never a row's column
+    rows = rows.withColumn("fours", _joined("pairs", 2)).withColumn("sum", _let(F.col("ratios"), lambda known: total(known, "h") + total(known, "pairs"))).withColumn("n", F.size("h") + F.size("pairs")).drop("ratios")
+    # a window found twice has its first four words twice
+    again = F.size(F.array_distinct("fours")) < F.size("fours")
+    scored = rows.select(
         "doc_id",
-        F.size("w").cast("long").alias("n_words"),
+        F.size("h").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
         "n_dup_lines",
-        F.when(F.size(F.array_distinct("windows")) == F.size("windows"), F.lit(0)).otherwise(_repeated("windows")).cast("long").alias("n_repeat_words"),
-        F.when(F.col("ratio.n") > 0, F.round(F.col("ratio.sum") / F.col("ratio.n") / SCALE, 9)).otherwise(F.lit(0.0)).alias("score"),
-        (F.col("ratio.sum") >= F.col("ratio.n") * F.lit(round(least * SCALE))).alias("likely"),
-    ).select(
-        "*",
-        ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"),
-    ).select("*", (~F.col("base_failed") & F.col("likely")).alias("kept")).drop("likely")
+        F.when(again, _repeated(_joined("fours", 4))).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.when(F.col("n") > 0, F.round(F.col("sum") / F.col("n") / SCALE, 9)).otherwise(F.lit(0.0)).alias("score"),
+    )
+    scored = written(scored.select("*", ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed")))
+    threshold = _threshold(scored, labels.where(held)).scalar()
+    columns = [c for c in scored.columns if c not in ("base_failed", "score")]
+    return scored.select(*columns, "base_failed", "score", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"))
 
 
-def _repeated(windows: str):
+def _repeated(windows):
     """Words that windows found twice or more cover, given the windows' hashes in order."""
     placed = F.sort_array(F.transform(windows, lambda h, k: F.struct(h.alias("h"), k.alias("k"))))
 
@@ -131,4 +150,4 @@ def _repeated(windows: str):
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The columns of query op4_quality_rules, and ``score``."""
-    return rules(docs, labels.where("quality = 1"))
+    return rules(docs, labels.where("quality = 1"), labels.where("quality = 0"))
