@@ -209,9 +209,9 @@ def spray_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("actor", "seq", F.row_number().over(own).cast("long").alias("shots"), F.size(F.collect_set("k").over(own)).cast("long").alias("victims"))
 
 
-@query(L + """, n as (select *, count(*) filter (event = 'signup') over (order by seq) as segment from (select * from log where side = 2)),
-    r as (select *, count(*) filter (event = 'error') over (partition by segment order by seq) as round_number from n)
-    select segment, max(round_number) as rounds, count(*) as events from r group by segment""")
+@query(L + """, n as (select *, count(*) filter (event = 'signup') over (partition by side order by seq) as segment from log),
+    r as (select *, count(*) filter (event = 'error') over (partition by side, segment order by seq) as round_number from n)
+    select side, segment, max(round_number) as rounds, count(*) as events from r group by side, segment""")
 def round_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rounds of each side by running count of a marker, anew after every restart."""
     found = runs.rounds(event_log(spark, sf_dir), ["side"], SEQ, _is("error"), _is("signup"))
@@ -281,7 +281,7 @@ def event_to_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.where(_is("click")).select("seq", starts.alias("s")).select("seq", F.size(F.filter("s", lambda x: x <= C("seq"))).cast("long").alias("round_number"))
 
 
-@query(L + """select a.actor, r.day, coalesce(n, 0) as n, cast(coalesce(total, 0) as double) as total from (select distinct actor from log where actor < 50) a cross join (select distinct day from log) r
+@query(L + """select a.actor, r.day, coalesce(n, 0) as n, cast(coalesce(total, 0) as double) as total from (select distinct actor from log) a cross join (select distinct day from log) r
     left join (select actor, day, count(*) as n, sum(value) as total from log group by actor, day) s on s.actor = a.actor and s.day = r.day""")
 def player_round_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = event_log(spark, sf_dir)
@@ -293,15 +293,15 @@ def player_round_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.over_spine(spine, found, ROUND, ["n"]).withColumn("total", F.coalesce("total", F.lit(0.0)))
 
 
-@query(L + """select coalesce(a.actor, b.actor) as actor, clicks, errors from (select actor, count(*) as clicks from log where event = 'click' and k < 10 group by actor) a
-    full join (select actor, count(*) as errors from log where event = 'error' and k < 10 group by actor) b on a.actor = b.actor""")
+@query(L + """select coalesce(a.actor, b.actor) as actor, clicks, errors from (select actor, count(*) as clicks from log where event = 'click' group by actor) a
+    full join (select actor, count(*) as errors from log where event = 'error' group by actor) b on a.actor = b.actor""")
 def metrics_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = event_log(spark, sf_dir)
     one = lambda e, n: log.where(_is(e)).groupBy("actor").agg(F.count("*").alias(n))
     return correlate.merged([one("click", "clicks"), one("error", "errors")], ACTOR)
 
 
-@query(L + """, s as (select day, actor, side, cast(sum(value) as double) as v from log where actor < 30 group by all)
+@query(L + """, s as (select day, actor, side, cast(sum(value) as double) as v from log group by all)
     select a.day, a.actor, b.actor as other_actor, a.v >= b.v as ahead from s a join s b on a.day = b.day and a.side <> b.side and a.actor <> b.actor""")
 def pair_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_log(spark, sf_dir).groupBy("day", "actor", "side").agg(F.sum("value").cast("double").alias("v"))
@@ -331,7 +331,7 @@ def snapshot_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entity.replay(log, ACTOR, "seq", "k", half)
 
 
-@query(L + """select actor, before, after from (select actor, arg_max(k, seq) filter (seq <= 300) as before, arg_max(k, seq) filter (seq <= 600) as after from log where seq <= 600 group by actor)
+@query(L + """select actor, before, after from (select actor, arg_max(k, seq) filter (seq <= m // 2) as before, arg_max(k, seq) as after from log, (select max(seq) as m from log) group by actor)
     where before is distinct from after""")
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Actors whose state at the middle of the log is not that at its end."""
