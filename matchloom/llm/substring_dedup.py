@@ -13,36 +13,21 @@ repeat within one document, or in rows with one id, stay.
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 
-from matchloom.llm import windows
+from matchloom.llm import windows, wordhash
 from matchloom.llm.common import texts
 
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_known: dict[bytes, int] = {}
-
-
 def words_of(raw: bytes) -> list[bytes]:
-    return _WORD.findall(raw)
+    # bytes.split splits at \x09-\x0D and the space only
+    return raw.split()
 
 
 def _cut(raw: bytes) -> tuple[np.ndarray, bytes, np.ndarray]:
-    words = words_of(raw)
-    if len(_known) > 300_000:
-        _known.clear()
-    get = _known.get
-    hashes = []
-    for w in words:
-        h = get(w)
-        if h is None:
-            h = _known[w] = xxhash.xxh64_intdigest(w)
-        hashes.append(h)
-    starts = np.concatenate(([0], np.cumsum(np.array([len(w) for w in words], np.int64) + 1)))
-    return np.array(hashes, np.uint64), b" ".join(words), starts
+    hashes, start, end = wordhash.words(raw)
+    return hashes, b" ".join(words_of(raw)), np.concatenate(([0], np.cumsum(end - start + 1)))
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 13, anchor: int = 3) -> DataFrame:
@@ -60,7 +45,7 @@ def _run(docs: DataFrame, id_col: str, text_col: str, width: int, anchor: int, w
         return (len(words), removed, *text, hashlib.sha256(kept).hexdigest())
 
     schema = f"doc_id long, n_words long, n_removed long, {'kept string, ' if with_text else ''}kept_sha256 string"
-    return windows.covered(texts(docs, id_col, text_col), windows.Tokens(_cut, width, anchor, gap=1), windows.by_words(width), finish, schema)
+    return windows.covered(texts(docs, id_col, text_col), windows.Tokens(_cut, width, anchor, gap=1), windows.Words(width), finish, schema)
 
 
 def query(docs: DataFrame) -> DataFrame:

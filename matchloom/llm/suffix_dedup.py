@@ -49,7 +49,7 @@ def _run(docs: DataFrame, id_col: str, text_col: str, width: int, anchor: int, w
         return (len(raw), removed, spans, *text, hashlib.sha256(kept).hexdigest())
 
     schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, {'kept string, ' if with_text else ''}kept_sha256 string"
-    return windows.covered(texts(docs, id_col, text_col), windows.Tokens(_cut, width, anchor), windows.by_bytes(width), finish, schema)
+    return windows.covered(texts(docs, id_col, text_col), windows.Tokens(_cut, width, anchor), windows.Bytes(width), finish, schema)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -8,10 +8,10 @@ equal windows have equal minimisers, and consecutive windows mostly share one.
    arrays of (hash, document).  Minimisers of one document only are dropped.
 2. *Super-k-mers.*  A maximal run of windows with one minimiser, if it survived,
    travels as one packed string to its bucket.
-3. A bucket orders its windows digit by digit, the most significant first, and
-   drops groups of one document after every pass.  What is equal after the last
-   digit is equal token by token.  In each group, the windows of all but the
-   smallest document are repeated.
+3. A bucket drops windows whose 64-bit hash only one document has, orders the others
+   digit by digit, the most significant first, and drops groups of one document
+   after every pass.  What is equal after the last digit is equal token by token.
+   In each group, the windows of all but the smallest document are repeated.
 4. The token ranges that repeated windows cover go back to their documents.
 
 Everything that moves is an array compressed per (task, bucket), so rows are few.
@@ -33,8 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.llm import wordhash
 from matchloom.llm.common import NO_ID, slots, texts
 
+_mix = wordhash.mix
 #: Tokens handled at once, tokens whose anchors a task packs together, longest run of windows in one string.
 _STRETCH, _FLUSH, _RUN = 1 << 20, 1 << 23, 256
 #: Bits of a hash that name an anchor in step 1; more anchors than documents share survive if they agree in these.
@@ -54,11 +56,6 @@ class Tokens:
     gap: int = 0
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
-
-
 def _over(x: np.ndarray, n: int, join: Callable[[np.ndarray, np.ndarray], np.ndarray], same: bool) -> np.ndarray:
     """``join`` of every ``n`` neighbours by doubling; ``same``: overlapping halves do no harm."""
     out, size = x, 1
@@ -161,7 +158,14 @@ def _split(sorted_: np.ndarray) -> np.ndarray:
 
 def _several(group: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each row's group has more than one document, and the group's smallest document."""
-    n = int(group.max()) + 1 if len(group) else 0
+    if not len(group):
+        return np.empty(0, bool), doc
+    if (group[1:] >= group[:-1]).all():
+        first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        size = np.diff(np.concatenate((first, [len(group)])))
+        low, high = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
+        return np.repeat(low != high, size), np.repeat(low, size)
+    n = int(group.max()) + 1
     low = np.full(n, NO_ID, np.int64)
     high = np.full(n, -NO_ID - 1, np.int64)
     np.minimum.at(low, group, doc)
@@ -396,7 +400,7 @@ def repeated(digit: Callable[[int, np.ndarray], np.ndarray], digits: int, group:
     return rows[doc[rows] > low]
 
 
-def _judge(t: Tokens, order: Callable, buckets: int, parts: int) -> Callable:
+def _judge(t: Tokens, kind: Bytes | Words, buckets: int, parts: int) -> Callable:
     """Step 3: token ranges of the repeated windows of a bucket, by part."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -407,82 +411,116 @@ def _judge(t: Tokens, order: Callable, buckets: int, parts: int) -> Callable:
         x = {k: np.concatenate([r[k] for r in rows]) for k in ("anchor", "doc", "tag", "first", "count", "size", "text")}
         del rows
         # the packed strings of an anchor that only one document has left say nothing
-        names, group = np.unique(x["anchor"], return_inverse=True)
-        several, _ = _several(group, x["doc"])
+        order = np.argsort(x["anchor"], kind="stable")
+        several, _ = _several(_split(x["anchor"][order]), x["doc"][order])
+        pick = order[several]
         starts = np.cumsum(x["size"].astype(np.int64)) - x["size"]
-        pick = np.flatnonzero(several)
+        sizes, count = x["size"].astype(np.int64), x["count"].astype(np.int64)
+        # windows whose hash only one document has are no candidates; a bounded number is looked at at once
+        hashes, strings, places = [], [], []
+        for part in _portions(pick, count[pick]):
+            string, inside = _each(count[part])
+            hashes.append(kind.hashes(x["text"], starts[part], sizes[part], string, inside))
+            strings.append(part[string].astype(np.int32))
+            places.append(inside.astype(np.uint16))
         out = []
-        # a bounded number of windows at once, whole anchors together
-        pick = pick[np.argsort(group[pick], kind="stable")]
-        count = x["count"].astype(np.int64)
-        edges = np.flatnonzero(np.concatenate(([True], group[pick][1:] != group[pick][:-1]))) if len(pick) else np.empty(0, np.int64)
-        total = np.concatenate(([0], np.cumsum(count[pick])))
-        a = 0
-        while a < len(pick):
-            later = edges[edges > a]
-            fits = later[total[later] - total[a] <= 2_000_000]
-            b = int(fits[-1]) if len(fits) else int(later[0]) if len(later) else len(pick)
-            if total[len(pick)] - total[a] <= 2_000_000:
-                b = len(pick)
-            part = pick[a:b]
-            n = count[part]
-            window = np.repeat(np.arange(len(part)), n)
-            inside = np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n)
-            digit, digits = order(x["text"], starts[part], x["size"][part].astype(np.int64), window, inside)
-            hit = repeated(digit, digits, group[part][window], x["doc"][part][window])
-            if len(hit):
-                hit = np.sort(hit)
-                w, k = window[hit], inside[hit]
-                new = np.concatenate(([True], (w[1:] != w[:-1]) | (k[1:] != k[:-1] + 1)))
-                begin, end = np.flatnonzero(new), np.concatenate((np.flatnonzero(new)[1:], [len(hit)])) - 1
-                own = part[w[begin]]
-                first = x["first"][own].astype(np.int64)
-                out.append(_dealt(_part(x["doc"][own], parts), doc=x["doc"][own], tag=x["tag"][own], start=first + k[begin], end=first + k[end] + t.width))
-            a = b
+        if hashes:
+            hash_, string, place = np.concatenate(hashes), np.concatenate(strings), np.concatenate(places)
+            del hashes, strings, places
+            order = np.argsort(hash_, kind="stable")
+            hash_ = hash_[order]
+            same = hash_[1:] == hash_[:-1]
+            again = np.concatenate((same, [False])) | np.concatenate(([False], same))
+            order, group = order[again], _split(hash_[again])
+            several, _ = _several(group, x["doc"][string[order]])
+            order, group = order[several], group[several]
+            string, place = string[order], place[order].astype(np.int64)
+            first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.empty(0, np.int64)
+            # groups of equal hashes stay together
+            for few in _portions(np.arange(len(first)), np.diff(np.concatenate((first, [len(group)])))):
+                a, b = int(first[few[0]]), int(first[few[-1] + 1]) if few[-1] + 1 < len(first) else len(group)
+                part, own = np.unique(string[a:b], return_inverse=True)
+                digit, digits = kind.digits(x["text"], starts[part], sizes[part], own, place[a:b])
+                hit = repeated(digit, digits, group[a:b] - group[a], x["doc"][string[a:b]]) + a
+                if len(hit):
+                    hit = hit[np.lexsort((place[hit], string[hit]))]
+                    w, k = string[hit], place[hit]
+                    new = np.concatenate(([True], (w[1:] != w[:-1]) | (k[1:] != k[:-1] + 1)))
+                    begin, end = np.flatnonzero(new), np.concatenate((np.flatnonzero(new)[1:], [len(hit)])) - 1
+                    own = w[begin]
+                    at = x["first"][own].astype(np.int64)
+                    out.append(_dealt(_part(x["doc"][own], parts), doc=x["doc"][own], tag=x["tag"][own], start=at + k[begin], end=at + k[end] + t.width))
         return _all(*out)
 
     return run
 
 
-def by_bytes(width: int) -> Callable:
-    """Digits of byte windows: eight bytes each, the last ones overlapping."""
+def _portions(rows: np.ndarray, weight: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows in portions of about a million in weight, at least one row each."""
+    if len(rows):
+        number = np.cumsum(weight) // 1_000_000
+        yield from np.split(rows, np.flatnonzero(number[1:] != number[:-1]) + 1)
+
+
+def _each(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """String and place of each of the strings' windows."""
+    string = np.repeat(np.arange(len(count)), count)
+    return string, np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)
+
 
-    def order(text: np.ndarray, start: np.ndarray, size: np.ndarray, window: np.ndarray, inside: np.ndarray):
+class Bytes:
+    """Windows of bytes.  Digits: eight bytes each, the last ones overlapping."""
+
+    def __init__(self, width: int):
+        self.width = width
+        self.value = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+
+    def hashes(self, text: np.ndarray, start: np.ndarray, size: np.ndarray, string: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        rolled = _rolled(self.value[_gather(text, start, size)], self.width)
+        return _mix(rolled[(np.cumsum(size) - size)[string] + inside])
+
+    def digits(self, text: np.ndarray, start: np.ndarray, size: np.ndarray, string: np.ndarray, inside: np.ndarray) -> tuple[Callable, int]:
         own = _gather(text, start, size)
         words = np.zeros(len(own), np.uint64)
         padded = np.concatenate((own, np.zeros(8, np.uint8)))
         for k in range(8):
             words |= padded[k : k + len(own)].astype(np.uint64) << np.uint64(56 - 8 * k)
-        at = (np.cumsum(size) - size)[window] + inside
-        return lambda d, rows: words[at[rows] + min(8 * d, width - 8)], -(-width // 8)
+        at = (np.cumsum(size) - size)[string] + inside
+        return lambda d, rows: words[at[rows] + min(8 * d, self.width - 8)], -(-self.width // 8)
 
-    return order
 
+class Words:
+    """Windows of words.  Digits: words numbered as they come, two to a digit."""
 
-def by_words(width: int) -> Callable:
-    """Digits of word windows: words numbered within the bucket, two to a digit."""
+    def __init__(self, width: int):
+        self.width = width
 
-    def order(text: np.ndarray, start: np.ndarray, size: np.ndarray, window: np.ndarray, inside: np.ndarray):
-        raw = text.tobytes()
+    def hashes(self, text: np.ndarray, start: np.ndarray, size: np.ndarray, string: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        # a space after each string, so that it ends its last word
+        spaced = np.full(int(size.sum()) + len(size), 32, np.uint8)
+        spaced[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = _gather(text, start, size)
+        hashes, begin, _ = wordhash.words(spaced.tobytes())
+        first = np.searchsorted(begin, np.cumsum(size + 1) - (size + 1))
+        return _mix(_rolled(hashes, self.width)[first[string] + inside])
+
+    def digits(self, text: np.ndarray, start: np.ndarray, size: np.ndarray, string: np.ndarray, inside: np.ndarray) -> tuple[Callable, int]:
         number: dict[bytes, int] = {}
         ids: list[int] = []
         first = []
         for s, n in zip(start.tolist(), size.tolist(), strict=True):
             first.append(len(ids))
-            ids += [number.setdefault(w, len(number)) for w in raw[s : s + n].split(b" ")]
+            ids += [number.setdefault(w, len(number)) for w in text[s : s + n].tobytes().split(b" ")]
         words = np.array(ids, np.uint64)
-        at = np.array(first, np.int64)[window] + inside
+        at = np.array(first, np.int64)[string] + inside
 
         def digit(d: int, rows: np.ndarray) -> np.ndarray:
-            k = min(2 * d, width - 2)
+            k = min(2 * d, self.width - 2)
             return words[at[rows] + k] << np.uint64(32) | words[at[rows] + k + 1]
 
-        return digit, -(-width // 2)
-
-    return order
+        return digit, -(-self.width // 2)
 
 
-def covered(docs: DataFrame, t: Tokens, order: Callable, finish: Callable, schema: str) -> DataFrame:
+def covered(docs: DataFrame, t: Tokens, kind: Bytes | Words, finish: Callable, schema: str) -> DataFrame:
     """A row for each document, made by ``finish(raw text, starts, ends)`` from the token ranges that
     windows cover which start in a document with a smaller id, too.
 
@@ -502,7 +540,7 @@ def covered(docs: DataFrame, t: Tokens, order: Callable, finish: Callable, schem
     # one exchange serves both steps that need the texts
     spread = docs.mapInArrow(dealt, "slot int, doc_id long, text string")
     strings = spread.groupBy("slot").cogroup(survivors.groupBy("slot")).applyInArrow(_super_kmers(t, buckets, parts), _ROWS)
-    ranges = strings.groupBy("slot").applyInArrow(_judge(t, order, buckets, parts), _ROWS)
+    ranges = strings.groupBy("slot").applyInArrow(_judge(t, kind, buckets, parts), _ROWS)
 
     def close(docs: pa.Table, found: pa.Table) -> pa.Table:
         rows = [_unpack(x) for x in found.column("body").to_pylist()]
