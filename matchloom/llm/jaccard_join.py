@@ -19,14 +19,17 @@ signature that more than ``few`` sets share is *hot* and gets none:
   element, meets in a cheap element that both ask with.
 * What is left are sets that are hot but for a fifth, so nearly all their content is
   their group's.  A pair of them that shares no cheap element can be linked only if
-  the smaller hot part alone is enough.  Each is compared with the member of its
-  group that has the fewest cheap elements; links become components; then members
-  outside the group's largest component are compared with those members of other
-  components that the bound leaves.
-
-No group is expanded into its pairs: stars join what is alike, and the bound cuts off
-what only shares a passage.  (Sets of one group that no star reaches, and that the
-bound leaves as possible, are compared one by one; none is dropped.)
+  the smaller hot part alone is enough.  Each is compared with the *lead* of its
+  group, the member with the fewest cheap elements; links become components; then
+  members outside the group's largest component are compared with those members of
+  other components that two bounds leave: that of the hot parts, and that of what the
+  two lack of the lead and have beyond it, for what they share is at most the lead,
+  less what either lacks, and what both have beyond it (``_may``).
+
+No group is expanded into its pairs: stars join what is alike, and the bounds cut off
+what only shares a passage, or differs from its lead in other places than others do.
+(Sets of one group that no star reaches, and that the bounds leave as possible, are
+compared one by one; none is dropped.)
 
 Candidates are verified on the exact sets.  Documents with equal sets are one node.
 Only sets that have a candidate at all are read again: a bitmap of fixed size tells
@@ -82,14 +85,11 @@ def shingles(raw: bytes, size: int) -> np.ndarray:
     return key[np.concatenate(([True], key[1:] != key[:-1]))]
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether 100 * intersection >= percent * union, of sorted distinct arrays."""
-    if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
-        return False
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of sorted distinct arrays."""
     if len(a) > len(b):
         a, b = b, a
-    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-    return 100 * both >= percent * (len(a) + len(b) - both)
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
 
 
 def bands(percent: int, ratio: float = 1.7, largest: int = 1 << 40) -> list[int]:
@@ -322,10 +322,10 @@ class Join:
         return pa.table([pa.array(to[edge].astype(np.int32)), pa.array(rows, pa.binary())], schema=_SCHEMA)
 
     def verify(self, sets: pa.Table, sent: pa.Table) -> pa.Table:
-        """Pairs whose sets are similar enough."""
+        """What the sets of each pair share, and whether that is enough."""
         raws = dict(zip(sets.column("print").to_pylist(), sets.column("raw").to_pylist(), strict=True))
         known: dict[bytes, np.ndarray] = {}
-        a, b, size = [], [], 0
+        a, b, both, enough, size = [], [], [], [], 0
         for body in sent.column("body").to_pylist():
             x = _unpack(body)
             raw, end = x["text"].tobytes(), np.cumsum(x["length"])
@@ -341,10 +341,11 @@ class Join:
                     if size > 8_000_000:
                         known, size = {}, len(right_set)
                     known[right] = right_set
-                if linked(left_set, right_set, self.percent):
-                    a.append(own[16 * k : 16 * k + 16])
-                    b.append(right)
-        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                a.append(own[16 * k : 16 * k + 16])
+                b.append(right)
+                both.append(overlap(left_set, right_set))
+                enough.append(100 * both[-1] >= self.percent * (len(left_set) + len(right_set) - both[-1]))
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(both, pa.int64()), pa.array(enough, pa.bool_())], names=["a", "b", "both", "linked"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -379,7 +380,7 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, j: Join) -> DataFrame:
-    """(a, b) of the pairs that are linked.  ``a`` may have any number of partners: beyond ``_PARTNERS`` its
+    """a, b, both, linked of the pairs: what they share, and whether it is enough.  ``a`` may have any number of partners: beyond ``_PARTNERS`` its
     text is sent from several slots; ``b`` should have few."""
     salts = pairs.groupBy(F.col("a").alias("print")).agg(F.ceil(F.count("*") / _PARTNERS).alias("salts"))
     slot = lambda *c: F.pmod(F.xxhash64(*c), F.lit(j.parts)).cast("int")
@@ -389,7 +390,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, j: Join) -> DataFrame:
     asked = asked.select(slot("a", "salt").alias("slot"), slot("b").alias("to"), "a", "b")
     sent = first.groupBy("slot").cogroup(asked.groupBy("slot")).applyInArrow(lambda x, y: j.send(x, y), _ROWS)
     second = sets.join(pairs.select(F.col("b").alias("print")).distinct(), "print", "left_semi").select(slot("print").alias("slot"), "print", "raw")
-    return second.groupBy("slot").cogroup(sent.groupBy("slot")).applyInArrow(lambda x, y: j.verify(x, y), "a binary, b binary")
+    return second.groupBy("slot").cogroup(sent.groupBy("slot")).applyInArrow(lambda x, y: j.verify(x, y), "a binary, b binary, both long, linked boolean")
 
 
 def _near_size(j: Join, x: str, y: str):
@@ -416,30 +417,59 @@ def _cheap_pairs(asks: DataFrame, j: Join) -> DataFrame:
     return x.join(y, "element").where((F.col("a") < F.col("b")) & _near_size(j, "na", "nb")).select("a", "b")
 
 
-def _stars(asks: DataFrame, j: Join) -> DataFrame:
-    """Each set that asks with a hot element, and that of the element's sets with the fewest rare elements."""
+def _leads(asks: DataFrame, j: Join) -> DataFrame:
+    """element, lead, n_lead, rare_lead: of each hot element's sets the one with the fewest rare elements."""
     hot = asks.where(F.col("count") > j.few)
-    lead = hot.groupBy("element").agg(F.min(F.struct("rare", F.col("print").alias("a"), F.col("n").alias("na"))).alias("lead")).select("element", "lead.a", "lead.na")
-    return hot.join(lead, "element").where((F.col("a") != F.col("print")) & _near_size(j, "na", "n")).select("a", F.col("print").alias("b"))
+    low = hot.groupBy("element").agg(F.min(F.struct("rare", "print", "n")).alias("s"))
+    return low.select("element", F.col("s.print").alias("lead"), F.col("s.n").alias("n_lead"), F.col("s.rare").alias("rare_lead"))
+
 
+def _stars(asks: DataFrame, leads: DataFrame, j: Join) -> DataFrame:
+    """Each set that asks with a hot element, and the element's lead."""
+    return asks.join(leads, "element").where((F.col("lead") != F.col("print")) & _near_size(j, "n_lead", "n")).select(F.col("lead").alias("a"), F.col("print").alias("b"))
 
-def _rest(asks: DataFrame, labels: DataFrame, j: Join) -> DataFrame:
-    """Pairs of sets of different components that ask with one hot element, and whose hot parts may be enough.
+
+def _rest(asks: DataFrame, leads: DataFrame, shared: DataFrame, labels: DataFrame, j: Join) -> DataFrame:
+    """Pairs of sets of different components that ask with one hot element, and that no bound excludes.
 
     Only sets outside an element's largest component ask.  Of a pair, ``a`` is that with fewer rare elements.
+    ``shared``: what leads share with their members (lead, print, both).
     """
-    hot = asks.where(F.col("count") > j.few).join(labels.withColumnRenamed("node", "print"), "print", "left")
-    hot = hot.select("element", "print", "n", "rare", F.coalesce("label", "print").alias("label"))
-    # a partner's hot part is as large as one's own at most
-    hot = hot.where((100 + j.percent) * (F.col("n") - F.col("rare")) >= 2 * j.percent * (F.col("n") - F.col("rare")) + j.percent * F.col("rare"))
+    p, whole = j.percent, 100 + j.percent
+    hot = asks.join(leads, "element").where("print <> lead").join(shared, ["lead", "print"], "left").join(labels.withColumnRenamed("node", "print"), "print", "left")
+    core = F.col("n") - F.col("rare")
+    # what the lead has and the set lacks; what the set has beyond the lead, and how much of that may be hot
+    hot = hot.select(
+        "element", "print", "n", "rare", "n_lead", core.alias("core"), F.coalesce("label", "print").alias("label"),
+        (F.col("n_lead") - F.col("both")).alias("lacks"),
+        (F.col("n") - F.col("both")).alias("more"),
+        F.least(F.col("n") - F.col("both"), core - F.col("both") + F.least("rare", "rare_lead")).alias("more_hot"),
+    )
+    # bounds of what any partner may give: its hot part is as large as one's own at most, and the most that the group's members offer
+    hot = hot.where(whole * F.col("core") >= 2 * p * F.col("core") + p * F.col("rare"))
+    offer = hot.groupBy("element").agg(F.max(p * (F.col("lacks") - F.col("more")) + whole * F.col("more_hot")).alias("most"), F.count_if(F.col("lacks").isNull()).alias("unknown"))
+    hot = hot.join(offer, "element").where((F.col("unknown") > 0) | (100 * F.col("lacks") + p * F.col("more") <= (100 - p) * F.col("n_lead") + F.col("most"))).drop("most", "unknown")
     by_label = hot.groupBy("element", "label").agg(F.count("*").alias("sets"))
     largest = by_label.groupBy("element").agg(F.max(F.struct("sets", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
     hot = hot.join(largest.select("element", F.col("most.label").alias("most")), "element")
-    x = hot.where("label <> most").select("element", *[F.col(c).alias(f"{c}_x") for c in ("print", "n", "rare", "label")])
-    both = x.join(hot, "element").where("label <> label_x")
-    may = (100 + j.percent) * F.least(F.col("n") - F.col("rare"), F.col("n_x") - F.col("rare_x")) >= j.percent * (F.col("n") + F.col("n_x"))
+    x = hot.where("label <> most").select("element", *[F.col(c).alias(f"{c}_x") for c in ("print", "n", "rare", "core", "label", "lacks", "more", "more_hot")])
+    both = x.join(hot, "element").where(F.col("label") != F.col("label_x")).where(_may(j))
     low = F.struct("rare", "print") < F.struct(F.col("rare_x").alias("rare"), F.col("print_x").alias("print"))
-    return both.where(may).select(F.when(low, F.col("print")).otherwise(F.col("print_x")).alias("a"), F.when(low, F.col("print_x")).otherwise(F.col("print")).alias("b")).distinct()
+    return both.select(F.when(low, F.col("print")).otherwise(F.col("print_x")).alias("a"), F.when(low, F.col("print_x")).otherwise(F.col("print")).alias("b")).distinct()
+
+
+def _may(j: Join):
+    """Whether a pair that shares no cheap element may be linked.
+
+    With ``s`` of what both lack of the lead, and ``t`` of what both have beyond it, they share
+    ``n_lead - lacks - lacks_x + s + t``, and their union is ``n_lead + more + more_x - s - t``.
+    """
+    p, whole = j.percent, 100 + j.percent
+    core = whole * F.least("core", "core_x") >= p * (F.col("n") + F.col("n_x"))
+    apart = 100 * (F.col("lacks") + F.col("lacks_x")) + p * (F.col("more") + F.col("more_x"))
+    shared = whole * (F.least("lacks", "lacks_x") + F.least("more_hot", "more_hot_x"))
+    known = F.col("lacks").isNotNull() & F.col("lacks_x").isNotNull()
+    return core & (~known | (apart <= (100 - p) * F.col("n_lead") + shared))
 
 
 def classes(docs: DataFrame, *, size: int = 5, percent: int = 80, few: int = 8) -> DataFrame:
@@ -466,12 +496,15 @@ def classes(docs: DataFrame, *, size: int = 5, percent: int = 80, few: int = 8)
     pairs = pairs.join(first, "a").join(second, "b").select(F.col("a_print").alias("a"), F.col("b_print").alias("b"))
 
     asks = written(_asks(sets.where("poor"), j))
-    pairs = written(pairs.union(_cheap_pairs(asks, j)).union(_stars(asks, j)).distinct())
-    labels = written(components(_verified(pairs, sets, j)))
-    rest = written(_rest(asks, labels, j))
+    leads = written(_leads(asks, j))
+    pairs = written(pairs.union(_cheap_pairs(asks, j)).union(_stars(asks, leads, j)).distinct())
+    judged = written(_verified(pairs, sets, j))
+    labels = written(components(judged.where("linked").select("a", "b")))
+    shared = judged.select(F.col("a").alias("lead"), F.col("b").alias("print"), "both")
+    rest = written(_rest(asks, leads, shared, labels, j))
     if not rest.isEmpty():
         old = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
-        labels = written(components(_verified(rest, sets, j).union(old)))
+        labels = written(components(_verified(rest, sets, j).where("linked").select("a", "b").union(old)))
     each = each.join(labels.withColumnRenamed("node", "print"), "print", "left")
     return each.select("doc_id", "n_shingles", "key", "print", F.coalesce("label", "print").alias("label"))
 
