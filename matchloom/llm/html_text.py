@@ -1,14 +1,18 @@
 """Main text of web pages by nearest-URL page differencing.
 
-A page is cut into text lines, one per block.  Markup says what some lines are:
-menus, footers, adverts, forms, comments and the like are no text, and lines of
-an ``article`` or ``main`` element are.  The others are judged by differencing:
-pages are sorted by host and URL path, every page is paired with its nearest
-neighbour on its host, the two pages' lines are aligned by their longest common
-subsequence, and lines that both share are deleted unless an article element
-holds them.  Two pages that agree in every line say nothing about each other, so
-a run of adjacent ones is one node: nodes are paired, and each page of a node
-loses the node's lines.
+A page is cut into text lines, one per block, each with a role from its markup:
+*noise* (menus, footers, adverts, forms, notices, comments and the like), *text*
+(what an ``article`` or ``main`` element holds) or *open*.  Pages are sorted by host
+and URL path, and a page's lines, of all roles, are aligned with those of its nearest
+neighbours on the host that differ from it, by their longest common subsequence.
+Roles break ties: of what the neighbour nearer by path shares, noise and open lines are
+deleted; noise that no neighbour has is left out by its role alone.  Lines of an article
+stay; with ``within_articles`` those are deleted that the neighbours on both sides have,
+if most of the article is not so shared (an article that returns as a whole is a copy).
+That is for sites that put their own lines into articles, and off by default: articles
+that have a license line or a line of one word in common would lose it.  Two pages that
+agree in every line say nothing about each other, so a run of adjacent ones is one
+node: nodes are paired, and each page of a node loses the node's lines.
 
 Nodes are dealt by place in the global order, never by host, so a host with a
 third of all pages is spread like any other; what a task holds is a block of
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchloom.llm.common import map_batches, written
+from matchloom.llm.common import bounded, map_batches, written
 
 BLOCK = 64
 
@@ -51,7 +55,12 @@ NOISE = {
     "footer", "masthead", "header", "share", "sharing", "social", "related", "recommended", "recommendations", "toolbar", "pagination", "pager", "login", "search", "copyright", "disclaimer",
     "contentinfo", "complementary", "form",
 }
-TEXT = {"article", "content", "main", "post", "entry", "story", "body", "text", "page"}
+TEXT = {"article", "content", "main", "post", "entry", "story", "body", "text", "page", "title"}
+# Words that say how an element is laid out, not what it is; and words after which a name says what is near it.
+LAYOUT = {"container", "wrapper", "wrap", "box", "block", "list", "item", "area", "section", "inner", "outer", "content", "body", "text", "main", "holder", "col", "row", "top", "bottom", "left", "right"}
+NEAR = {"has", "with", "no", "without", "is", "not", "after", "before", "hide"}
+
+NOISE_LINE, OPEN, MAIN_LINE = 0, 1, 2
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(?=/?[a-zA-Z])[^>]*(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -60,14 +69,34 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|di
 
 
 def _noise(attributes: str) -> bool:
-    """Whether class, id or role name an element that is no text."""
-    words = {w.lower() for m in _NAMES.finditer(attributes) for w in _WORD.findall(m[1] or m[2] or m[3] or "")}
-    return bool(words & NOISE) and not words & TEXT or bool(_HIDDEN.search(attributes))
+    """Whether class, id or role name an element that is no text.
+
+    Each name is judged by itself: it is noise if its first word is, or the last one that does not say how it is laid
+    out ("post-comments", "ad-box"); the header of a text is none, nor is what only says that noise is near.  An
+    element that has a name of text alone besides ("post", "entry-content") is text.
+    """
+    noise = False
+    for m in _NAMES.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = [w.lower() for w in _WORD.findall(name)]
+            if not words or words[0] in NEAR:
+                continue
+            if TEXT.issuperset(words):
+                return bool(_HIDDEN.search(attributes))
+            while len(words) > 1 and words[-1] in LAYOUT:
+                words.pop()
+            noise = noise or words[0] in NOISE or words[-1] in NOISE and not (words[-1] == "header" and words[0] in TEXT)
+    return noise or bool(_HIDDEN.search(attributes))
 
 
 def lines(page: str) -> list[tuple[str, bool]]:
-    """(text, whether an article or main element holds it) of a page's blocks, without those that markup drops."""
-    out: list[tuple[str, bool]] = []
+    """(text, whether an article or main element holds it) of a page's blocks, without noise."""
+    return [(text, role == MAIN_LINE) for text, role in blocks(page) if role != NOISE_LINE]
+
+
+def blocks(page: str) -> list[tuple[str, int]]:
+    """(text, role) of a page's blocks."""
+    out: list[tuple[str, int]] = []
     text: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # block elements that are open: name, dropped, in main
     dropped = main = False
@@ -77,13 +106,13 @@ def lines(page: str) -> list[tuple[str, bool]]:
             line = " ".join(entities.unescape("".join(text)).split())
             text.clear()
             if line:
-                out.append((line, main))
+                out.append((line, NOISE_LINE if dropped else MAIN_LINE if main else OPEN))
 
     at = 0
     while at < len(page):
         m = _TOKEN.search(page, at)
         upto = m.start() if m else len(page)
-        if not dropped and upto > at:
+        if upto > at:
             text.append(page[at:upto])
         if not m:
             break
@@ -207,7 +236,8 @@ def _marked(batch: pa.RecordBatch, part: int, at: range, runs: list[int], first:
 
 
 def _shared(block: pd.DataFrame) -> pd.DataFrame:
-    """Lines of each own node of a block that its nearest neighbour has too, for each block of places that the node's pages are in."""
+    """Lines of each own node of a block that its nearest neighbour has too, and those that the neighbours on both sides
+    have, for each block of places that the node's pages are in."""
     block = block.sort_values("place", kind="stable").reset_index(drop=True)
     nodes = block.groupby("node", sort=True)
     place, upto = nodes["place"].min().tolist(), nodes["place"].max().tolist()
@@ -215,22 +245,38 @@ def _shared(block: pd.DataFrame) -> pd.DataFrame:
     head, tail = nodes["path"].first().tolist(), nodes["path"].last().tolist()
     hashes = [np.asarray(x, np.int64) for x in nodes["hashes"].first()]
     rows = []
-    for i in np.flatnonzero(own):
+    for i in np.flatnonzero(own).tolist():
         # the last path of the node before and the first of the node after are what stands next to it
         other = [(_near(tail[k], head[i]) if k < i else _near(tail[i], head[k]), -k) for k in (i - 1, i + 1) if 0 <= k < len(host) and host[k] == host[i]]
-        if other and len(hashes[i]) and (found := common(hashes[i], hashes[-max(other)[1]])):
-            rows += [(node[i], k, found) for k in range(place[i] // BLOCK, upto[i] // BLOCK + 1)]
-    return pd.DataFrame({"node": pd.Series([r[0] for r in rows], dtype="int64"), "piece": pd.Series([r[1] for r in rows], dtype="int64"), "shared": pd.Series([r[2] for r in rows], dtype="object")})
-
-
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars, n_shared (lines that differencing deleted) of every row."""
+        if other and len(hashes[i]):
+            found = {-k: common(hashes[i], hashes[-k]) for _, k in other}
+            nearest = found[-max(other)[1]]
+            both = sorted(set(found[i - 1]) & set(found[i + 1])) if len(found) == 2 else []
+            if nearest or both:
+                rows += [(node[i], k, nearest, both) for k in range(place[i] // BLOCK, upto[i] // BLOCK + 1)]
+    kinds = {"node": "int64", "piece": "int64", "shared": "object", "both": "object"}
+    return pd.DataFrame({c: pd.Series([r[k] for r in rows], dtype=t) for k, (c, t) in enumerate(kinds.items())})
+
+
+def _closed(page: str, shared: list[int], both: list[int], within: bool) -> tuple[str, int]:
+    """A page's text, and how many of its lines differencing has found shared and left out."""
+    found, gone = blocks(page), set(shared)
+    article = [k for k, (_, role) in enumerate(found) if role == MAIN_LINE]
+    site = set(both).intersection(article) if within else set()
+    if 2 * len(site) >= len(article):
+        site = set()
+    keep = [role == MAIN_LINE and k not in site or role == OPEN and k not in gone for k, (_, role) in enumerate(found)]
+    return "\n".join(t for (t, _), k in zip(found, keep, strict=True) if k), sum(not keep[k] for k in gone | site)
+
+
+def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", within_articles: bool = False) -> DataFrame:
+    """page_id, url, text, n_chars, n_shared (lines that differencing found shared and left out) of every row."""
     spark = pages.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    bounded(spark)
     pages = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html"))
 
     def cut(batch: pa.RecordBatch):
-        found = [[_hash(t) for t, _ in lines(x or "")] for x in batch.column("html").to_pylist()]
+        found = [[_hash(t) for t, _ in blocks(x or "")] for x in batch.column("html").to_pylist()]
         yield pa.record_batch([batch.column("page_id"), batch.column("url"), batch.column("key"), pa.array(found, pa.list_(pa.int64()))], names=["page_id", "url", "key", "hashes"])
 
     pages = pages.withColumn("key", F.xxhash64("html"))
@@ -264,20 +310,17 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     near = F.array_distinct(F.transform(F.array(F.lit(0), F.lit(-1), F.lit(1)), lambda d: F.floor((F.col("node") + d) / BLOCK)))
     dealt = placed.where(F.col("first") | F.col("last")).select("host", "path", F.when(F.col("first"), F.col("hashes")).alias("hashes"), "place", "node", F.explode(near).alias("block"))
     dealt = dealt.withColumn("own", F.col("block") == F.floor(F.col("node") / BLOCK))
-    found = dealt.groupBy("block").applyInPandas(_shared, "node long, piece long, shared array<long>")
+    found = dealt.groupBy("block").applyInPandas(_shared, "node long, piece long, shared array<long>, both array<long>")
     # by node and piece, so that a node with many copies is many keys
     shared = placed.select("page_id", "url", "key", "node", F.floor(F.col("place") / BLOCK).alias("piece")).join(found, ["node", "piece"])
-    shared = shared.select(F.col("page_id").alias("_id"), F.col("url").alias("_url"), F.col("key").alias("_key"), "shared")
+    shared = shared.select(F.col("page_id").alias("_id"), F.col("url").alias("_url"), F.col("key").alias("_key"), "shared", "both")
     same = pages["page_id"].eqNullSafe(shared["_id"]) & pages["url"].eqNullSafe(shared["_url"]) & (pages["key"] == shared["_key"])
-    joined = pages.join(shared, same, "left").select("page_id", "url", "html", "shared")
+    joined = pages.join(shared, same, "left").select("page_id", "url", "html", "shared", "both")
 
     def close(batch: pa.RecordBatch):
-        text, deleted = [], []
-        for page, gone in zip(batch.column("html").to_pylist(), batch.column("shared").to_pylist(), strict=True):
-            found, gone = lines(page or ""), set(gone or ())
-            own = [t for k, (t, m) in enumerate(found) if m or k not in gone]
-            text.append("\n".join(own))
-            deleted.append(sum(not found[k][1] for k in gone))
+        columns = [batch.column(c).to_pylist() for c in ("html", "shared", "both")]
+        closed = [_closed(page or "", shared or [], both or [], within_articles) for page, shared, both in zip(*columns, strict=True)]
+        text, deleted = [c[0] for c in closed], [c[1] for c in closed]
         yield pa.record_batch(
             [batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64()), pa.array(deleted, pa.int64())],
             names=["page_id", "url", "text", "n_chars", "n_shared"],
