@@ -75,4 +75,28 @@ SQL: dict[str, str] = {
                sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
         from d left join words using (doc_id) left join items using (doc_id)
     """,
+    "op9_suffix_dedup": r"""
+        with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+        each as (select r, doc_id, k, hash(substring(h, 2 * k + 1, 100)) as x from (select r, doc_id, h, unnest(range(0, length(h) // 2 - 49)) as k from d)),
+        twice as (select x from each group by x having min(doc_id) < max(doc_id)),
+        win as (select r, each.doc_id, k, substring(h, 2 * k + 1, 100) as s from each join twice using (x) join d using (r)),
+        low as (select s, min(doc_id) as first from win group by s having min(doc_id) < max(doc_id)),
+        hit as (select r, k, lag(k) over (partition by r order by k) as p from win join low using (s) where doc_id > first),
+        runs as (select r, k, sum(case when k <= p + 50 then 0 else 1 end) over (partition by r order by k) as run from hit),
+        spans as (select r, min(k) as a, max(k) + 50 as b, lag(max(k) + 50, 1, 0) over (partition by r order by min(k)) as before from runs group by r, run),
+        cut as (select r, count(*) as n_spans, sum(b - a) as n_removed, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' order by a) as start, max(b) as rest from spans join d using (r) group by r)
+        select doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans,
+               sha256(unhex(coalesce(start, '') || substring(h, 2 * coalesce(rest, 0) + 1))) as kept_sha256
+        from d left join cut using (r)
+    """,
+    "op10_jaccard_join": r"""
+        with recursive d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+        sh as (select distinct r, array_to_string(w[k:k + 4], ' ') as s from (select r, w, unnest(range(1, greatest(2, len(w) - 3))) as k from d where len(w) > 0)),
+        n as (select r, count(*) as n from sh group by r),
+        shared as (select x.r as a, y.r as b, count(*) as c from sh x join sh y on x.s = y.s and x.r <> y.r group by x.r, y.r),
+        link as (select a, b from shared join n x on x.r = a join n y on y.r = b where 100 * c >= 80 * (x.n + y.n - c)),
+        reach as (select r, r as other from d union select reach.r, link.b from reach join link on link.a = reach.other)
+        select d.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, c.component_id
+        from d left join n using (r) join (select reach.r, min(e.doc_id) as component_id from reach join d e on e.r = reach.other group by reach.r) c on c.r = d.r
+    """,
 }
