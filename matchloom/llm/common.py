@@ -87,11 +87,12 @@ def slots(df: DataFrame) -> int:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is missing, as in tests on one machine, a temporary
-    folder takes its place.
+    On one machine, as in tests, a temporary folder takes its place where that setting is missing; a cluster needs it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="matchloom-")
@@ -101,10 +102,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """The rows of ``df`` as a table in the shared folder: cuts lineage, and is
-    computed once however often it is read."""
-    path = shared_folder(df.sparkSession)
+    computed once however often it is read.  It goes when the driver ends."""
+    spark = df.sparkSession
+    path = shared_folder(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def crc_mod(id_col, n: int):

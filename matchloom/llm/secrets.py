@@ -2,9 +2,9 @@
 
 Each text is searched for credentials (``BASE`` and ``FURTHER`` patterns).  The
 hash of every value found is then counted over the whole corpus by distinct
-repositories and distinct owners: a value that several owners hold is a widely
-copied example, one that a single owner holds and that looks random is taken
-for a live credential.  Base spans are always reported, with their class;
+repositories and distinct owners: a value that several owners hold, or that one
+owner holds in more than ``max_repos`` repositories, is a widely copied example;
+any other that looks random is taken for a live credential of its owner.  Base spans are always reported, with their class;
 spans of the further patterns are reported only where they look live.
 
 Values are aggregated by (value, owner, repository) before they are counted by
@@ -52,6 +52,8 @@ HINTS = {
     "jwt": ("eyj",),
     "private_key": ("-----begin ",),
 }
+#: Repositories of one owner that may hold a value that is not taken for an example.
+MAX_REPOS = 100
 #: Every run of hex digits is long enough or no match: long ones are found at once.
 _LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 ORDER = {k: n for n, k in enumerate([*BASE, *FURTHER])}
@@ -107,17 +109,19 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own
     return map_batches(rows, run, f"doc_id long, text_key long, owner string, repo string, found array<{SPAN}>")
 
 
-def secrets(docs: DataFrame, *, max_owners: int = 1, **columns: str) -> DataFrame:
+def secrets(docs: DataFrame, *, max_owners: int = 1, max_repos: int = MAX_REPOS, **columns: str) -> DataFrame:
     """doc_id, text_key and spans array<struct<kind, start, end, value, owners, repos, live>> of every row.
 
-    ``value`` is a hash; ``live``: at most ``max_owners`` owners hold the value and it looks random.
+    ``value`` is a hash; ``owners`` and ``repos``: how many hold it, a repository of several owners once; ``live``: at
+    most ``max_owners`` owners hold the value, in ``max_repos`` repositories at most, and it looks random.
     """
     rows = written(scan(docs, **columns).withColumn("row", F.monotonically_increasing_id()))
     each = rows.select("row", "owner", "repo", F.explode("found").alias("s")).select("row", "owner", "repo", "s.*")
-    held = each.groupBy("value", "owner", "repo").agg(F.lit(1).alias("one")).groupBy("value", "owner").agg(F.count("*").alias("repos"))
-    held = held.groupBy("value").agg(F.sum("repos").alias("repos"), F.count("*").alias("owners"))
+    # a null owner or repository is one of its own; a value's holders are summed on the map side, then by (value, holder)
+    held = each.select("value", F.xxhash64("owner", F.col("owner").isNull()).alias("owner"), F.xxhash64("repo", F.col("repo").isNull()).alias("repo")).distinct()
+    held = held.groupBy("value").agg(F.count_distinct("repo").alias("repos"), F.count_distinct("owner").alias("owners"))
     # the id of a row is unique, so this brings each row's own spans together
-    judged = each.join(held, "value").withColumn("live", (F.col("owners") <= max_owners) & F.col("looks_random"))
+    judged = each.join(held, "value").withColumn("live", (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos) & F.col("looks_random"))
     judged = judged.where(F.col("kind").isin(list(BASE)) | F.col("live"))
     rank = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in ORDER.items()])
     judged = judged.groupBy("row").agg(
@@ -140,26 +144,32 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, *, mark: str = "[SECRET]", max_owners: int = 1, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
+def redact(docs: DataFrame, *, mark: str = "[SECRET]", max_owners: int = 1, max_repos: int = MAX_REPOS, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
     """The rows of ``docs`` with every live credential replaced by ``mark``; widely copied examples stay.
 
     Spans that overlap are replaced together.
     """
-    found = secrets(docs, max_owners=max_owners, id_col=id_col, text_col=text_col, **columns)
+    found = secrets(docs, max_owners=max_owners, max_repos=max_repos, id_col=id_col, text_col=text_col, **columns)
     live = found.select("doc_id", "text_key", F.filter("spans", lambda s: s["live"]).alias("live")).where(F.size("live") > 0)
     live = live.select("doc_id", "text_key", F.transform("live", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"))).alias("live")).distinct()
     # the row as one column, so that no name of it can clash
     text = docs[text_col].cast("string")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     rows = rows.join(live, rows["id"].eqNullSafe(live["doc_id"]) & (rows["key"] == live["text_key"]), "left")
-    # acc: the new text, and the end of what is blotted out so far; a span that begins before it lengthens it
-    start = F.struct(F.lit("").alias("t"), F.lit(0).alias("upto"))
-
-    def replace(acc, s):
-        between = F.substr(F.col("text"), acc["upto"] + 1, F.greatest(s["a"] - acc["upto"], F.lit(0)))
-        added = F.when(s["a"] < acc["upto"], F.lit("")).otherwise(F.concat(between, F.lit(mark)))
-        return F.struct(F.concat(acc["t"], added).alias("t"), F.greatest(acc["upto"], s["b"]).alias("upto"))
-
-    blotted = F.aggregate(F.array_sort("live"), start, replace, lambda acc: F.concat(acc["t"], F.substr(F.col("text"), acc["upto"] + 1)))
+    # spans that overlap as one: a span opens where it begins at or after the largest end before it
+    spans = F.array_sort("live")
+    start = F.struct(F.array().cast("array<struct<a: int, b: int>>").alias("done"), F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b"))
+
+    def merge(acc, s):
+        opens = acc["b"].isNull() | (s["a"] >= acc["b"])
+        done = F.when(opens & acc["b"].isNotNull(), F.concat(acc["done"], F.array(F.struct(acc["a"].alias("a"), acc["b"].alias("b"))))).otherwise(acc["done"])
+        return F.struct(done.alias("done"), F.when(opens, s["a"]).otherwise(acc["a"]).alias("a"), F.when(opens, s["b"]).otherwise(F.greatest(acc["b"], s["b"])).alias("b"))
+
+    merged = F.aggregate(spans, start, merge, lambda acc: F.concat(acc["done"], F.array(F.struct(acc["a"].alias("a"), acc["b"].alias("b")))))
+    rows = rows.withColumn("merged", F.when(F.col("live").isNotNull(), merged))
+    # each stretch between two marks is cut from the text once
+    end = F.transform("merged", lambda s, k: F.when(k == 0, F.lit(0)).otherwise(F.get("merged", k - 1)["b"]))
+    between = F.zip_with("merged", end, lambda s, upto: F.substr(F.col("text"), upto + 1, s["a"] - upto))
+    blotted = F.concat(F.array_join(between, mark), F.lit(mark), F.substr(F.col("text"), F.element_at("merged", -1)["b"] + 1))
     new = F.when(F.col("live").isNull(), F.col("text")).otherwise(blotted)
     return rows.select(*[(new if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])

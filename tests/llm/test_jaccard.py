@@ -72,6 +72,57 @@ def test_one_of_each_group_stays(docs, prose):
     assert sum(r.doc_id == 65 for r in got.collect()) <= 1
 
 
+def test_representatives_of_clashing_ids(docs):
+    words = [f"w{k}" for k in range(60)]
+    a, near, other = " ".join(words), " ".join([*words, "tail"]), " ".join(f"x{k}" for k in range(30))
+    rows = [(3, a, None, "s"), (65, near, None, "s"), (65, other, None, "s"), (65, other, None, "t"), (70, None, None, "s"), (71, "", None, "s"), (None, near, None, "u"), (80, "x y", None, "v")]
+    kept = set()
+    for order in (rows, rows[::-1]):
+        got = sorted(((r.doc_id, r.text, r.source) for r in j.representatives(docs(order)).collect()), key=repr)
+        assert [(i, t) for i, t, _ in got] == [(3, a), (65, other), (70, None), (71, ""), (80, "x y")]
+        kept.add(next(s for i, _, s in got if i == 65))
+    assert len(kept) == 1
+
+
+def _check(docs, rows, **options):
+    assert _got(docs(rows), **options) == _components(rows)
+
+
+def test_a_passage_that_all_share(docs):
+    rng = random.Random(9)
+    passage = " ".join(f"p{k}" for k in range(24))
+    rows = [(k, f"{passage} " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.choice([2, 4, 6, 20])))) for k in range(700)]
+    found = []
+    old = j.written
+
+    def seen(df):
+        out = old(df)
+        found.append(out)
+        return out
+
+    j.written = seen
+    try:
+        _check(docs, rows)
+    finally:
+        j.written = old
+    # no step made pairs of all that share the passage
+    assert max(t.count() for t in found if t.columns[:2] == ["a", "b"]) < 8 * len(rows)
+
+
+def test_a_group_of_near_copies_that_do_not_all_link(docs):
+    rng = random.Random(10)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for k in range(300):
+        w = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            p = rng.randrange(len(w))
+            w[p : p + rng.choice([0, 1, 1, 4])] = [f"e{rng.randrange(40)}"]
+        rows.append((k, " ".join(w)))
+    _check(docs, rows)
+    _check(docs, rows, few=3)
+
+
 def test_schemes_bound_every_pair():
     borders = j.bands(80)
     for a in (*range(1, 300), 1000, 5000):

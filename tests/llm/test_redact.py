@@ -1,6 +1,9 @@
 """Every character of a live credential goes, however its spans lie."""
 
+import hashlib
 import itertools
+import random
+from collections import defaultdict
 
 from matchloom.llm import secrets
 
@@ -34,3 +37,28 @@ def test_nested_spans(docs):
         assert any(a < d and c < b for (a, b), (c, d) in itertools.combinations(live, 2))
         assert got[k] == _blotted(t, live)
     assert got[0] == '[SECRET]" é😀 after' and "YyZz" not in got[1] and "0987" not in got[1]
+
+
+def test_owners_and_repositories(docs):
+    """Counts against a plain fold; two owners make an example, so do many repositories of one owner."""
+    rng = random.Random(4)
+    values = [f"Zq{k}x9Lm4Vt7Rb{k}" for k in range(12)]
+    rows = [(rng.choice([*range(40), None]), f"secret={rng.choice(values)} token: {rng.choice(values)}", None, rng.choice(["a", "b", None]) if k % 3 else "a") for k in range(200)]
+    rows += [(1000 + k, "password=Hot1Owner2Example3", None, "a") for k in range(30)] + [(2000, "password=Two4Owners5Hold6It", None, x) for x in ("a", "b")]
+    held = defaultdict(set)
+    for i, text, _, owner in rows:
+        for _, _, _, value in secrets.spans(text):
+            held[hashlib.sha256(value.encode()).hexdigest()[:32]].add((owner, i))
+    found = {s.value: (s.owners, s.repos, s.live) for r in secrets.secrets(docs(rows), max_repos=25).collect() for s in r.spans}
+    want = {v: (len({o for o, _ in x}), len({r for _, r in x})) for v, x in held.items()}
+    assert found == {v: (o, r, o <= 1 and r <= 25) for v, (o, r) in want.items()}
+    clean = {(r.doc_id, r.source): r.text for r in secrets.redact(docs(rows), max_repos=25).collect()}
+    assert clean[1000, "a"] == "password=Hot1Owner2Example3" and clean[2000, "a"] == "password=Two4Owners5Hold6It"
+    assert {r.text for r in secrets.redact(docs(rows[-32:-2])).collect()} == {"[SECRET]"}
+
+
+def test_many_spans(docs):
+    text = " ".join(f"é {k} token=Ab{k:04}Cd{k:04}Ef" for k in range(500))
+    live = [(a, b) for _, a, b, value in secrets.spans(text) if secrets.entropy(value) >= 2.5]
+    assert len(live) > 490
+    assert [r.text for r in secrets.redact(docs([(1, text, None, "s")])).collect()] == [_blotted(text, live)]
