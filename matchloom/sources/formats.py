@@ -64,7 +64,8 @@ def fields(raw: bytes) -> Iterator[tuple[int, int, int, int]]:
             key, at = varint(raw, at)
             start, kind = at, key & 7
             if kind == 0:
-                _, at = varint(raw, at)
+                # up to ten bytes: negative numbers are written as large ones
+                at = next(k for k in range(at, at + 10) if raw[k] < 128) + 1
             elif kind == 1:
                 at += 8
             elif kind == 5:
@@ -74,7 +75,7 @@ def fields(raw: bytes) -> Iterator[tuple[int, int, int, int]]:
                 at = start + size
             else:
                 return
-        except (IndexError, ValueError):
+        except (IndexError, ValueError, StopIteration):
             return
         if at > len(raw):
             return
