@@ -45,7 +45,9 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 #: Stretches and pairs of pieces that a worker remembers before it starts anew.
-_REMEMBER, _LONGEST = 400_000, 48
+_REMEMBER, _LONGEST = 300_000, 48
+#: Stretches that are composed together.
+_TOGETHER = 1 << 14
 #: No text holds this.
 _HEAD = "\udfff"
 _OUTSIDE = -1  # state before the first piece, and around characters without a piece
@@ -442,7 +444,10 @@ class Lexicon:
         new = list(set().union(*each).difference(known))
         full = [x[1:] if x[:1] == _HEAD else SPACE + x for x in new]
         short = [k for k, x in enumerate(full) if self.kind == BPE and len(x) <= _LONGEST]
-        ids = dict(zip(short, self.paths([full[k] for k in short]), strict=True))
+        ids = {}
+        for a in range(0, len(short), _TOGETHER):
+            part = short[a : a + _TOGETHER]
+            ids.update(zip(part, self.paths([full[k] for k in part]), strict=True))
         for k, x in enumerate(new):
             own = ids[k] if k in ids else np.array(self.path(full[k]), "<i4")
             known[x] = own.tobytes(), b"".join([self.spelled[i] for i in own.tolist()])
