@@ -22,6 +22,19 @@ TRADE, FLASH, SPRAY, RECOIL, FULL = 256, 320, 24, 0.25, 100
 ENDS = ["round_officially_ended", "cs_win_panel_match"]
 ROLES = ("Attacker", "UserId", "Assister")
 ROUND = ["match_id", "segment", "round_number"]
+# What an event turns a state into.
+PHASES = {
+    "warmup_end": "PreMatch", "round_announce_match_start": "PreMatch", "round_prestart": "FreezeTime", "round_freeze_end": "ActiveWithBuy", "buytime_ended": "ActivePostBuy",
+    "cs_round_final_beep": "PostRound", "round_officially_ended": "PreRound", "cs_pre_restart": "PreRound", "halftime": "Halftime", "cs_intermission": "Intermission", "cs_win_panel_match": "PostMatch",
+}
+BOMB = {
+    "bomb_pickup": "Carried", "bomb_dropped": "Dropped", "bomb_beginplant": "Planting", "bomb_planted": "Planted", "bomb_abortplant": "Carried",
+    "bomb_begindefuse": "Defusing", "bomb_defused": "Defused", "bomb_abortdefuse": "Planted", "bomb_exploded": "Detonated",
+}
+# What is known of a player's entity, and which of it is 0 as long as it was not seen.
+STATE = {"health": "long", "armor": "long", "equipment": "long", "active_weapon": "string", "active_weapon_clip": "long", "place": "string"}
+UNSEEN = ("armor", "equipment")
+HALF_ENDS = ["round_officially_ended", "cs_pre_restart"]
 _SPARK = {"int": "long", "instant": "long", "float": "double", "bool": "boolean", "string": "string"}
 
 
@@ -31,6 +44,30 @@ def completed(log: DataFrame) -> DataFrame:
     return log.select("*", *[F.lit(None).cast(_SPARK[t]).alias(c) for c, t in MATCH.event.items() if c not in have], *([] if "map_name" in have else [F.lit(None).cast("string").alias("map_name")]))
 
 
+def contexts(log: DataFrame) -> DataFrame:
+    """What phase a match is in, from a log with segments and rounds; each state is that after the event.
+
+    rounds_after_half_announce: -1 until the last round of a half is announced, then rounds begun since; at the end of
+    the round that makes it 1 the half is over.
+    """
+    e = F.col("event")
+    of = lambda names: F.coalesce(*[F.when(e == k, F.lit(v)) for k, v in names.items()])
+    match = Window.partitionBy("match_id").orderBy("seq")
+    segment = Window.partitionBy("match_id", "segment").orderBy("seq")
+    held = lambda now, w, first: F.coalesce(F.last(now, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(first))
+    announced = F.last(F.when(e == "round_announce_last_round_half", F.col("round_number")), ignorenulls=True).over(segment.rowsBetween(Window.unboundedPreceding, 0))
+    log = log.withColumn("rounds_after_half_announce", F.coalesce(F.col("round_number") - announced, F.lit(-1)))
+    half = e.isin(HALF_ENDS) & (F.col("rounds_after_half_announce") == 1)
+    return log.withColumns(
+        {
+            "gameplay_phase": held(F.when(half, "Halftime").otherwise(of(PHASES)), match, "WarmUp"),
+            "half_state": held(F.when(half | (e == "halftime"), "SecondHalf"), segment, "FirstHalf"),
+            "regulation_status": held(F.when(e == "cs_match_end_restart", "Overtime"), match, "Regulation"),
+            "bomb_status": held(of(BOMB), Window.partitionBy(*ROUND).orderBy("seq"), "NotInPlay"),
+        }
+    )
+
+
 def _last(items: str, slot: Column, value: str) -> Column:
     """Value of the last entry of ``slot`` before the row."""
     own = F.filter(items, lambda x: (x["slot"] == slot) & (x["seq"] < F.col("seq")))
@@ -41,18 +78,22 @@ def _dead(slot: Column, deaths: str = "deaths") -> Column:
     return truth(F.exists(deaths, lambda d: (d["slot"] == slot) & (d["seq"] < F.col("seq")) & ~d["self"]))
 
 
-def enrich(log: DataFrame, players: DataFrame) -> DataFrame:
-    """``log``: match_id, seq, tick, event and payload; ``players``: match_id, player, team.
+def enrich(log: DataFrame, players: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """``log``: match_id, seq, tick, event and payload; ``players``: match_id, player, team; ``state``: match_id, player,
+    seq and columns of ``STATE``, a row for each change, null where a column does not change.
 
-    Returns the log with all columns that the match catalog names but those of entity state, which are null unless
-    the log has them.
+    Returns the log with all columns that the match catalog names.  What ``state`` does not tell is null unless the log
+    has it; armor and equipment that were never seen are 0.
     """
     log = completed(log)
     e = F.col("event")
     death, hurt, landed = e == "player_death", e == "player_hurt", e == "bullet_damage"
     log = runs.rounds(log, ["match_id"], ["seq"], e == "round_freeze_end", e == "begin_new_match")
     whole = Window.partitionBy("match_id")
-    log = log.withColumn("match_live", (F.col("segment") > 0) | (F.max("segment").over(whole) == 0))
+    started = (F.col("segment") > 0) | (F.max("segment").over(whole) == 0)
+    segment = Window.partitionBy("match_id", "segment").orderBy("seq")
+    ended = F.coalesce(F.count_if(e == "cs_win_panel_match").over(segment.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) > 0
+    log = contexts(log.withColumn("match_live", started & ~ended))
     w = Window.partitionBy(*ROUND).orderBy("seq")
     before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
     log = log.withColumns(
@@ -128,7 +169,59 @@ def enrich(log: DataFrame, players: DataFrame) -> DataFrame:
     traded = correlate.trades(deaths, ROUND, "tick", TRADE, "team").select("match_id", "seq", F.col("traded").alias("kill_traded_player_slot"))
     log = log.join(traded, ["match_id", "seq"], "left").withColumn("kill_was_trade_kill", F.col("kill_traded_player_slot").isNotNull())
     log = log.withColumn("kill_traded_player_slot", F.coalesce("kill_traded_player_slot", F.lit(-1)))
-    return _resolved(log).drop("_flash", "_spray", "teams", "deaths")
+    return observed(_sides(_resolved(log)), state).drop("_flash", "_spray", "teams", "deaths")
+
+
+def observed(log: DataFrame, state: DataFrame | None) -> DataFrame:
+    """For each role the state of its player before the event, and each side's equipment when its round went live."""
+    have = [] if state is None else [c for c in STATE if c in state.columns]
+    if have:
+        # only a living player's health counts
+        seen = {c: F.when(F.col(c) > 0, F.col(c)) if c == "health" else F.col(c) for c in have}
+        state = state.select("match_id", F.col("player").cast("long").alias("_slot"), F.col("seq").cast("long").alias("seq"), *[x.cast(STATE[c]).alias(c) for c, x in seen.items()])
+    for r in ROLES:
+        if have:
+            own = log.drop(*[f"{r}_{c}" for c in have]).withColumn("_slot", F.coalesce(F.col(r).cast("long"), F.lit(-1)))
+            log = correlate.as_of(own, state, ["match_id", "_slot"], "seq", have, prefix=f"{r}_").drop("_slot")
+        missing = {f"{r}_{c}": F.lit(None).cast(t) for c, t in STATE.items() if f"{r}_{c}" not in log.columns}
+        log = log.withColumns(missing) if missing else log
+        log = log.withColumns({f"{r}_{c}": F.coalesce(f"{r}_{c}", F.lit(0)) for c in UNSEEN})
+    if "equipment" in have:
+        moves = F.filter("teams", lambda t: t["seq"] < F.col("seq"))
+        last = F.filter(moves, lambda t: ~F.exists(moves, lambda u: (u["slot"] == t["slot"]) & (u["seq"] > t["seq"])))
+        at = log.where(F.col("event") == "round_freeze_end").select(*ROUND, "seq", F.inline(F.transform(last, lambda t: F.struct(t["slot"].alias("_slot"), t["team"].alias("_team")))))
+        worth = correlate.as_of(at, state, ["match_id", "_slot"], "seq", ["equipment"]).groupBy(*ROUND, "_team").agg(F.coalesce(F.sum("equipment"), F.lit(0)).alias("_sum"))
+        log = log.join(worth.groupBy(*ROUND).agg(F.map_from_entries(F.collect_list(F.struct("_team", "_sum"))).alias("_worth")), ROUND, "left")
+    else:
+        log = log.withColumn("_worth", F.lit(None).cast("map<bigint,bigint>"))
+    sums = {}
+    for r in ROLES:
+        team = F.coalesce(F.col(f"{r}_team").cast("long"), F.lit(0).cast("long"))
+        for name, side in (("team", team), ("enemies", F.when(team == 2, 3).when(team == 3, 2).otherwise(-1).cast("long"))):
+            sums[f"{r}_{name}_equipment"] = F.coalesce(F.try_element_at("_worth", side), F.lit(0))
+    return log.withColumns(sums).drop("_worth")
+
+
+def _sides(log: DataFrame) -> DataFrame:
+    """For each role: players and living players of its player's team and of the other one, before the event.
+
+    Computed for the rows and columns that a plan reads; a match's roster and a round's deaths are short arrays.
+    """
+    moves = F.filter("teams", lambda t: t["seq"] < F.col("seq"))
+    current = F.map_from_entries(F.array_distinct(F.transform(moves, lambda t: F.struct(t["slot"], F.element_at(F.filter(moves, lambda u: u["slot"] == t["slot"]), -1)["team"]))))
+    fallen = F.coalesce(F.transform(F.filter("deaths", lambda d: (d["seq"] < F.col("seq")) & ~d["self"]), lambda d: d["slot"]), F.array().cast("array<bigint>"))
+    log = log.withColumns({"_current": current, "_fallen": fallen})
+    out = {}
+    for r in ROLES:
+        for name, same in (("team", True), ("enemies", False)):
+            side = F.col(f"{r}_team") if same else F.when(F.col(f"{r}_team") == 2, 3).when(F.col(f"{r}_team") == 3, 2).otherwise(0)
+            players = F.map_keys(F.map_filter("_current", lambda _, t: t == side))  # noqa: B023
+            out[f"{r}_{name}_players"] = F.coalesce(F.size(players), F.lit(0))
+            out[f"{r}_{name}_alive"] = F.coalesce(F.size(F.array_except(players, F.col("_fallen"))), F.lit(0))
+    log = log.withColumns(out)
+    clutch = {f"{r}_in_clutch": truth((F.col(f"{r}_team_alive") == 1) & (F.col(f"{r}_enemies_alive") >= 1) & F.col(f"{r}_alive")) for r in ROLES}
+    size = {f"{r}_clutch_size": F.when(F.col(f"{r}_in_clutch"), F.col(f"{r}_enemies_alive")).otherwise(0) for r in ROLES}
+    return log.withColumns(clutch).withColumns(size).drop("_current", "_fallen")
 
 
 def _resolved(log: DataFrame) -> DataFrame:

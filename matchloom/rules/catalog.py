@@ -81,15 +81,34 @@ MATCH = Catalog(
         "round.active": ("bool", "round_active"),
         "round.no_deaths_yet": ("bool", "no_deaths_yet"),
         "round.bomb.was_planted": ("bool", "bomb_was_planted"),
+        "round.gameplay_phase": ("string", "gameplay_phase"),
+        "round.bomb.status": ("string", "bomb_status"),
+        "round.after_half_announce": ("int", "rounds_after_half_announce"),
+        "round.team.alive": ("int", "{actor}_team_alive"),
+        "round.team.players": ("int", "{actor}_team_players"),
+        "round.team.equipment": ("int", "{actor}_team_equipment"),
+        "round.enemies.alive": ("int", "{actor}_enemies_alive"),
+        "round.enemies.players": ("int", "{actor}_enemies_players"),
+        "round.enemies.equipment": ("int", "{actor}_enemies_equipment"),
+        "round.alive.in_clutch": ("bool", "{actor}_in_clutch"),
+        "round.clutch.size": ("int", "{actor}_clutch_size"),
+        "match.half_state": ("string", "half_state"),
+        "match.regulation_status": ("string", "regulation_status"),
         "match.live": ("bool", "match_live"),
         "match.map": ("string", "map_name"),
         "player.team": ("int", "{actor}_team"),
         "player.alive": ("bool", "{actor}_alive"),
         "player.survived": ("bool", "{actor}_survived"),
         "player.traded": ("bool", "{actor}_traded"),
-        "player.health": ("int", "{actor}_health"),
-        "player.armor": ("int", "{actor}_armor"),
-        "player.equipment_value": ("int", "{actor}_equipment"),
+        "enrich.hurt.attacker_active_weapon": ("string", "Attacker_active_weapon"),
+        **{
+            f"{role}.{name}": (kind, f"{column}_{what}")
+            for role, column in (("player", "{actor}"), ("killer", "Attacker"), ("attacker", "Attacker"), ("victim", "UserId"), ("assister", "Assister"))
+            for name, kind, what in (
+                ("team", "int", "team"), ("alive", "bool", "alive"), ("health", "int", "health"), ("armor", "int", "armor"), ("equipment_value", "int", "equipment"),
+                ("active_weapon", "string", "active_weapon"), ("active_weapon_clip", "int", "active_weapon_clip"), ("place", "string", "place"), ("entity.place", "string", "place"),
+            )
+        },
     },
     end="round_won",
 )

@@ -161,3 +161,55 @@ def test_profiles(match):
     catalog, missing = resolved(Catalog({"a": View(("$round_end", "b")), "c": View(("$none",))}, {}), own[-1])
     assert catalog.views["a"].events == ("x", "b") and missing == ["c"]
     assert restarts(match[0]).collect() == []
+
+
+@pytest.fixture(scope="module")
+def phases(spark):
+    rows = [
+        (0, "warmup_end", {}), (1, "begin_new_match", {}), (2, "round_prestart", {}), (3, "round_freeze_end", {}),
+        (4, "bomb_pickup", {"UserId": 1}), (5, "bomb_beginplant", {"UserId": 1}), (6, "bomb_abortplant", {"UserId": 1}), _kill(7, 1, 6), (8, "bomb_planted", {"UserId": 1}),
+        (9, "cs_round_final_beep", {}), (10, "round_officially_ended", {}), (11, "round_announce_last_round_half", {}), (12, "round_freeze_end", {}),
+        _kill(13, 6, 1), (14, "round_officially_ended", {}), (15, "round_freeze_end", {}), (16, "player_hurt", {"Attacker": 1, "UserId": 7, "DmgHealth": 5, "Health": 95, "Weapon": "ak47"}),
+        (17, "cs_win_panel_match", {}), (18, "cs_intermission", {}), (19, "begin_new_match", {}), (20, "round_freeze_end", {}),
+    ]
+    log = spark.createDataFrame(_log(rows), COLUMNS)
+    players = spark.createDataFrame([("m", p, 2 if p < 5 else 3) for p in (1, 2, 6, 7)], "match_id string, player long, team int")
+    state = [("m", 1, 2, 100, 50, 800, "weapon_ak47", 30, "Long"), ("m", 1, 11, None, None, 1000, None, None, None), ("m", 2, 2, 100, None, 300, None, None, None), ("m", 6, 2, 100, None, 50, "weapon_awp", 5, "Pit"), ("m", 6, 6, 0, 7, None, None, 4, None)]
+    state = spark.createDataFrame(state, "match_id string, player long, seq long, health long, armor long, equipment long, active_weapon string, active_weapon_clip long, place string")
+    return enrich(log, players, state).cache(), players
+
+
+def test_contexts(phases):
+    got = _at(phases, "match_live", "gameplay_phase", "half_state", "bomb_status", "rounds_after_half_announce")
+    assert got[0] == (False, "PreMatch", "FirstHalf", "NotInPlay", -1)
+    assert got[2][1] == "FreezeTime" and got[3] == (True, "ActiveWithBuy", "FirstHalf", "NotInPlay", -1)
+    assert [got[k][3] for k in (4, 5, 6, 7, 8, 9)] == ["Carried", "Planting", "Carried", "Carried", "Planted", "Planted"]
+    assert got[9][1] == "PostRound" and got[10][1] == "PreRound" and got[11][4] == 0
+    # the last round of the half ends
+    assert got[12][4] == 1 and got[12][3] == "NotInPlay" and got[14] == (True, "Halftime", "SecondHalf", "NotInPlay", 1)
+    assert got[15][4] == 2 and got[17][0] is True and got[18][:2] == (False, "Intermission")
+    assert got[19] == (True, "Intermission", "FirstHalf", "NotInPlay", -1)
+
+
+def test_sides_and_state(phases):
+    got = _at(phases, "Attacker_team_alive", "Attacker_enemies_alive", "UserId_enemies_players", "Attacker_team_equipment", "Attacker_enemies_equipment")
+    assert got[7] == (2, 2, 2, 1100, 50)
+    assert got[13] == (2, 2, 2, 50, 1300)
+    assert got[16][:3] == (2, 2, 2)
+    got = _at(phases, "Attacker_health", "Attacker_armor", "Attacker_active_weapon", "Attacker_active_weapon_clip", "UserId_health", "UserId_armor", "UserId_place", "UserId_active_weapon_clip")
+    # health of 0 does not count; armor that was never seen is 0
+    assert got[7] == (100, 50, "weapon_ak47", 30, 100, 7, "Pit", 4) and got[16][4:] == (None, 0, None, None)
+
+
+def test_roles_in_rules(phases):
+    log, players = phases
+    doc = """
+ruleset: roles
+stats:
+  pit: {count: kill, where: victim.place == 'Pit' and killer.active_weapon_clip > 10}
+  armed: {count: kill, where: player.equipment_value >= 800 and round.enemies.alive == 2 and round.gameplay_phase == 'ActiveWithBuy'}
+  rich: {count: kill, where: round.team.equipment > round.enemies.equipment}
+  carried: {sum: event.DmgHealth, on: damage_dealt, where: enrich.hurt.attacker_active_weapon == 'weapon_ak47'}
+"""
+    report = Planner(log, players, MATCH).run(model.read(doc))["roles"].game
+    assert {r["player"]: (r["pit"], r["armed"], r["rich"], int(r["carried"])) for r in report.collect()} == {1: (1, 1, 1, 5), 2: (0, 0, 0, 0), 6: (0, 0, 0, 0), 7: (0, 0, 0, 0)}
