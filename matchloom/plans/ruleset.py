@@ -11,7 +11,9 @@ Players without events get their row from the spine.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import difflib
+import re
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,20 +53,54 @@ class Planner:
         self.log, self.players, self.catalog, self.rate = log, players, catalog, tick_rate
         self.player_rounds = player_rounds
         self.done: dict[str, tuple[Ruleset, Report]] = {}
+        #: Rulesets that were left out, with the reasons.
+        self.excluded: dict[str, list[Diagnostic]] = {}
 
-    def run(self, rulesets: list[Ruleset]) -> dict[str, Report]:
-        """Reports of all rulesets, used ones first; every ruleset is checked before any is planned."""
+    def run(self, rulesets: list[Ruleset], strict: bool = True) -> dict[str, Report]:
+        """Reports of all rulesets, used ones first; every ruleset is checked before any is planned.
+
+        A ruleset with faults is an error; without ``strict`` it is left out, with those that use it, and the others run.
+        """
         rulesets = ordered(rulesets)
-        found: list[Diagnostic] = []
+        by = {x.id: x for x in rulesets}
         for r in rulesets:
-            found += check(r, self.catalog, {x.id: x for x in rulesets}, self.rate)
-        if found:
-            raise RuleError(*found)
+            found = check(r, self.catalog, by, self.rate)
+            found += [Diagnostic("R_REF", f"uses {u!r}, which is left out", where=r.id) for u in r.use if u in self.excluded]
+            if found:
+                self.excluded[r.id] = found
+        if self.excluded and strict:
+            raise RuleError(*[d for found in self.excluded.values() for d in found])
+        rulesets = [r for r in rulesets if r.id not in self.excluded]
         for r in rulesets:
             self.done[r.id] = (r, _Plan(self, r).report())
         return {k: v[1] for k, v in self.done.items()}
 
 
+def _hint(name: str, known: Iterable[str]) -> str:
+    near = difflib.get_close_matches(name, list(known), 1)
+    return f"; did you mean {near[0]!r}?" if near else ""
+
+
+def _names(r: Ruleset, catalog: Catalog) -> list[str]:
+    """Names that expressions of a ruleset may use."""
+    own = [*r.stats, *r.highlights, *r.defines, *(f"params.{p}" for p in r.params)]
+    return [*own, *catalog.names, *(f"event.{e}" for e in catalog.event), "player.slot", "player.name"]
+
+
+def _counted(r: Ruleset, s: Stat) -> Stat | None:
+    """The flag that a count counts the rising edges of, if it does."""
+    return r.stats.get(s.trigger.on) if s.kind == "count" and s.trigger is not None else None
+
+
+def _off(s: Stat) -> Stat | None:
+    """What turns a flag off, as a stat: ``off:`` names a view, or is a trigger."""
+    off = s.options.get("off")
+    if s.kind != "flag" or s.trigger is None or off is None:
+        return None
+    body = off if isinstance(off, Mapping) else {"on": off}
+    return Stat(f"{s.id}~off", "flag", s.per, Trigger(str(body.get("on")), body.get("match") or {}, body.get("where"), body.get("while"), body.get("actor") == "any"))
+
+
 def _types(r: Ruleset, catalog: Catalog, others: Mapping[str, Ruleset]) -> Callable[[str], str | None]:
     kinds = {"compute": "float", "flag": "bool", "rate": "float"}
     targets = {t["target"] for s in r.stats.values() if s.kind == "tally" for t in s.options["thresholds"]}
@@ -116,7 +152,7 @@ def condition(r: Ruleset, t: Trigger, view: View, rate: float) -> Node | None:
         if name == "actor":
             continue
         if name not in view.facets:
-            raise RuleError(Diagnostic("R_REF", f"no facet {name!r}"))
+            raise RuleError(Diagnostic("R_REF", f"no facet {name!r}{_hint(name, view.facets)}"))
         facet = view.facets[name]
         if isinstance(test, str) and test[:1] in "<>=!":
             parts.append(expr.parse(f"{facet} {test}", rate))
@@ -144,13 +180,19 @@ def check(r: Ruleset, catalog: Catalog, others: Mapping[str, Ruleset], rate: flo
             if want and kind not in (want, "null"):
                 found.append(Diagnostic("E_TYPE", f"is {kind}, not {want}", where=f"{r.id}.{where}"))
         except RuleError as e:
-            found.extend(Diagnostic(d.code, d.message, d.at, f"{r.id}.{where}") for d in e.found)
-
-    for s in r.stats.values():
+            for d in e.found:
+                unknown = re.match(r"unknown name '(.+)'$", d.message)
+                found.append(Diagnostic(d.code, d.message + (_hint(unknown[1], _names(r, catalog)) if unknown else ""), d.at, f"{r.id}.{where}"))
+
+    for s in [*r.stats.values(), *filter(None, map(_off, r.stats.values()))]:
+        if (flag := _counted(r, s)) is not None:
+            if flag.kind != "flag":
+                found.append(Diagnostic("R_KIND", f"{flag.id!r} is a {flag.kind}; only the rising edges of a flag can be counted", where=f"{r.id}.{s.id}"))
+            continue
         if s.trigger is not None:
             view = catalog.view(s.trigger.on)
             if view is None:
-                found.append(Diagnostic("R_REF", f"no view {s.trigger.on!r}", where=f"{r.id}.{s.id}"))
+                found.append(Diagnostic("R_REF", f"no view {s.trigger.on!r}{_hint(s.trigger.on, [*catalog.views, *r.stats])}", where=f"{r.id}.{s.id}"))
                 continue
             try:
                 whole = condition(r, s.trigger, view, rate)
@@ -162,7 +204,7 @@ def check(r: Ruleset, catalog: Catalog, others: Mapping[str, Ruleset], rate: flo
         if s.kind in ("sum", "capture", "compute") or s.kind == "flag" and s.value is not None:
             tried(s.id, s.value, "bool" if s.kind == "flag" else None)
         if s.kind == "tally" and s.value not in r.stats:
-            found.append(Diagnostic("R_REF", f"no stat {s.value!r}", where=f"{r.id}.{s.id}"))
+            found.append(Diagnostic("R_REF", f"no stat {s.value!r}{_hint(str(s.value), r.stats)}", where=f"{r.id}.{s.id}"))
     for h in r.highlights.values():
         tried(h.id, h.when, "bool")
     return found
@@ -175,9 +217,11 @@ class _Plan:
         self.each = r.scope == "each_player"
         self.keys = [MATCH, PLAYER] if self.each else [MATCH]
         self.bound: dict[str, tuple[str | None, Column | None]] = {}
-        for s in r.stats.values():
-            if s.trigger is not None:
-                self.bound[s.id] = self._binding(s)
+        self.off = {s.id: off for s in r.stats.values() if (off := _off(s)) is not None}
+        #: Stats that look at events, and what turns flags off.
+        self.stats = {s.id: s for s in (*r.stats.values(), *self.off.values()) if s.trigger is not None and _counted(r, s) is None}
+        for s in self.stats.values():
+            self.bound[s.id] = self._binding(s)
 
     def _column(self, node: Node, actor: str | None, siblings: bool = False) -> Column:
         def of(name: str) -> Column:
@@ -216,7 +260,8 @@ class _Plan:
     def _rows(self, ids: list[str]) -> DataFrame:
         """The log with a row for each event and player that one of the stats concerns; ``_role``: the column that named the player."""
         log = self.p.log
-        names = {n for s in ids for n in self.catalog.view(self.r.stats[s].trigger.on).events}
+        ids = [*ids, *[self.off[s].id for s in ids if s in self.off]]
+        names = {n for s in ids for n in self.catalog.view(self.stats[s].trigger.on).events}
         log = log.where(F.col("event").isin(sorted(names)))
         if not self.each:
             return log.withColumn("_role", F.lit(None).cast("string"))
@@ -237,8 +282,22 @@ class _Plan:
         actor, when = self.bound[s.id]
         return when if not self.each else when & (F.col("_role") == (actor or "*"))
 
+    def _state(self, s: Stat) -> Column:
+        """What an event makes of a flag: true, false, or null if it leaves it as it is."""
+        on = F.when(scalar.truth(self._when(s)), F.lit(True))
+        return on.when(scalar.truth(self._when(self.off[s.id])), F.lit(False)) if s.id in self.off else on
+
+    def _same(self, s: Stat) -> str:
+        """What a stat's aggregate is made of, but for its name."""
+        condition_ = condition(self.r, s.trigger, self.catalog.view(s.trigger.on), self.p.rate)
+        value = _inline(self.r, expr.parse(s.value, self.p.rate)) if s.kind in ("sum", "capture") else None
+        return expr.identity(s.kind, s.trigger.on, self.bound[s.id][0], condition_, value, s.options.get("keep"), repr(self.off.get(s.id)))
+
     def _aggregate(self, s: Stat) -> Column:
         when, order = self._when(s), F.col("seq")
+        if s.id in self.off:
+            state = self._state(s)
+            return F.max_by(state, F.when(state.isNotNull(), order)).alias(s.id)
         value = self._column(expr.parse(s.value, self.p.rate), self.bound[s.id][0]) if s.kind in ("sum", "capture") else None
         keep = s.options.get("keep", "last")
         return {
@@ -255,8 +314,28 @@ class _Plan:
         }[s.kind]().alias(s.id)
 
     def _grouped(self, keys: list[str], per: str, extra: set[str] = frozenset()) -> DataFrame | None:
-        own = [s for s in self.r.stats.values() if s.kind in ("count", "sum", "capture", "flag") and s.trigger is not None and (s.per == per or s.id in extra)]
-        return self._rows([s.id for s in own]).groupBy(*keys).agg(*map(self._aggregate, own)) if own else None
+        own = [s for s in self.r.stats.values() if s.kind in ("count", "sum", "capture", "flag") and s.id in self.stats and (s.per == per or s.id in extra)]
+        if not own:
+            return None
+        # stats that are the same are one aggregate
+        first: dict[str, Stat] = {}
+        same = {s.id: first.setdefault(self._same(s), s).id for s in own}
+        found = self._rows([s.id for s in first.values()]).groupBy(*keys).agg(*map(self._aggregate, first.values()))
+        return found.withColumns({k: F.col(f"`{v}`") for k, v in same.items() if k != v}) if len(first) < len(own) else found
+
+    def _edges(self, s: Stat, by_round: DataFrame) -> DataFrame:
+        """How often the flag that ``s`` counts turned true, by the keys of the scope, and by round if it is per round."""
+        flag = _counted(self.r, s)
+        keys = [*self.keys, ROUND] if s.per == "round" else self.keys
+        if flag.id not in self.stats:
+            return by_round.groupBy(*keys).agg(F.count_if(F.col(f"`{flag.id}`")).alias(s.id))
+        own = [*self.keys, ROUND] if flag.per == "round" else self.keys
+        w = Window.partitionBy(*own).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+        # an event that concerns a player in several roles is one step
+        rows = self._rows([flag.id]).withColumn("_state", self._state(flag)).where(F.col("_state").isNotNull())
+        rows = rows.groupBy(*self.keys, ROUND, "seq").agg(F.bool_or("_state").alias("_state"))
+        held = rows.withColumn("_held", F.last("_state", ignorenulls=True).over(w))
+        return runs.rising(held, own, ["seq"], F.col("_held")).groupBy(*keys).agg(F.count_if("edge").alias(s.id))
 
     def _zeros(self, table: DataFrame) -> DataFrame:
         fill = {}
@@ -277,6 +356,10 @@ class _Plan:
         if found is not None:
             by_round = by_round.join(found, [*self.keys, ROUND], "left")
         by_round = self._zeros(by_round)
+        counted = [s for s in r.stats.values() if _counted(r, s) is not None]
+        for s in counted:
+            if s.per == "round":
+                by_round = by_round.join(self._edges(s, by_round), [*self.keys, ROUND], "left").withColumn(s.id, F.coalesce(F.col(f"`{s.id}`"), F.lit(0)))
         if self.each and self.p.player_rounds is not None:
             by_round = by_round.join(self.p.player_rounds, [*self.keys, ROUND], "left")
         for s in r.stats.values():
@@ -293,6 +376,9 @@ class _Plan:
                 steps = {t["target"]: t["min"] for t in s.options["thresholds"]}
                 game = game.join(stats.tally(by_round.withColumn("_v", F.col(f"`{s.value}`")), self.keys, "_v", steps), self.keys, "left")
                 game = game.withColumns({t: F.coalesce(F.col(t), F.lit(0)) for t in steps})
+        for s in counted:
+            if s.per == "match":
+                game = game.join(self._edges(s, by_round), self.keys, "left")
         game = self._zeros(game)
         moments = self._moments(by_round)
         for h in r.highlights.values():
@@ -358,9 +444,11 @@ class _Plan:
             names = sorted(node.names())
             if not names or any(n not in self.r.stats or self.r.stats[n].per != "round" or self.r.stats[n].kind not in ("count", "sum", "flag") or self.r.stats[n].trigger is None for n in names):
                 continue
-            w = Window.partitionBy(*self.keys, ROUND).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+            w = Window.partitionBy(*self.keys, ROUND).orderBy("seq", "_role").rowsBetween(Window.unboundedPreceding, 0)
             rows = self._rows(names)
             running = rows.withColumns({n: self._running(self.r.stats[n], w) for n in names})
+            # an event that concerns a player in several roles is one step, after all of them
+            running = running.withColumn("_more", F.lead("seq").over(Window.partitionBy(*self.keys, ROUND, "seq").orderBy("_role"))).where("_more is null").drop("_more")
             fired = runs.rising(running, [*self.keys, ROUND], ["seq"], self._column(node, None, siblings=True)).where("edge")
             out.append(fired.select(F.lit(h.id).alias("highlight"), *self.keys, ROUND, "seq", "tick", F.lit(h.score).alias("score"), F.lit(h.kind).alias("kind"), F.lit(h.group).cast("string").alias("group"), scalar.title(h.title, {"round.number": F.col(ROUND), "player.slot": F.col(PLAYER) if self.each else F.lit(None), **{n: F.col(n) for n in names}}).alias("title")))
         if not out:
@@ -374,6 +462,8 @@ class _Plan:
         when = self._when(s)
         if s.kind == "count":
             return F.count_if(when).over(w)
+        if s.id in self.off:
+            return scalar.truth(F.last(self._state(s), ignorenulls=True).over(w))
         if s.kind == "flag":
             return F.bool_or(scalar.truth(when)).over(w)
         return F.coalesce(F.sum(F.when(when, self._column(expr.parse(s.value, self.p.rate), self.bound[s.id][0]))).over(w), F.lit(0))
@@ -383,6 +473,7 @@ class _Plan:
         out = {}
         show = self.r.show
         wanted = {name: (t.get("per", "player_match"), t["columns"]) for name, t in (show.get("tables") or {}).items()}
+        boards = {"scoreboard_game", "scoreboard_round"}
         board = show.get("scoreboard") or []
         own = lambda e: self.r.stats.get(e["stat"].partition(".")[0]) or self.r.highlights.get(e["stat"].partition(".")[0])
         for per, name in (("match", "scoreboard_game"), ("round", "scoreboard_round")):
@@ -390,12 +481,19 @@ class _Plan:
             if mine:
                 wanted[name] = ("player_round" if per == "round" else "player_match", mine)
         for name, (per, columns) in wanted.items():
+            if per == "event":
+                # a row for each moment, with what is asked for of it
+                if report.moments is not None:
+                    picked = [F.col(c["stat"]).alias(c.get("label") or c["stat"]) for c in columns if c["stat"] in report.moments.columns]
+                    out[name] = report.moments.select(*self.keys, ROUND, "seq", *[p for p in picked])
+                continue
             source = report.rounds if per.endswith("round") else report.game
             keys = [c for c in (*self.p.players.columns, ROUND) if c in source.columns and (c != ROUND or per.endswith("round"))]
             picked = []
             for c in columns:
                 stat = c["stat"]
-                if per.endswith("match") and stat in self.r.highlights:
+                # boards show how often, tables whether
+                if name in boards and per.endswith("match") and stat in self.r.highlights:
                     stat = f"{stat}.count"
                 if stat not in source.columns:
                     continue

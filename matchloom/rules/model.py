@@ -117,7 +117,10 @@ class _Reader:
                 self.fault("R_FIELD", f"unknown field {k!r}", where)
 
     def trigger(self, body: Mapping, on: object, defines: Mapping) -> Trigger:
-        own = Trigger(str(on), body.get("match") or {}, body.get("where"), _gate(body.get("while")), (body.get("actor") or (body.get("match") or {}).get("actor")) == "any")
+        actor = body.get("actor") or (body.get("match") or {}).get("actor")
+        if actor not in (None, "any"):
+            self.fault("R_VALUE", "actor: is any, or left out")
+        own = Trigger(str(on), body.get("match") or {}, body.get("where"), _gate(body.get("while")), actor == "any")
         base = defines.get(str(on))
         if isinstance(base, Mapping) and "on" in base:
             inner = self.trigger(base, base["on"], defines)

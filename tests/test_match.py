@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from matchloom.lang.diagnostics import RuleError
 from matchloom.operators.enrich import enrich, player_rounds
 from matchloom.plans.ruleset import Planner
 from matchloom.rules import model
@@ -213,3 +214,62 @@ stats:
 """
     report = Planner(log, players, MATCH).run(model.read(doc))["roles"].game
     assert {r["player"]: (r["pit"], r["armed"], r["rich"], int(r["carried"])) for r in report.collect()} == {1: (1, 1, 1, 5), 2: (0, 0, 0, 0), 6: (0, 0, 0, 0), 7: (0, 0, 0, 0)}
+
+
+def test_flags_off_and_their_edges(phases):
+    log, players = phases
+    doc = """
+ruleset: edges
+stats:
+  armed: {flag: true, on: kill, off: death, per: match}
+  again: {count: armed}
+  one: {count: kill}
+  two: {count: kill}
+  hurt: {flag: true, on: damage_dealt, per: round}
+  hurts: {count: hurt}
+highlights:
+  any: {when: one_round >= 1, title: x}
+  fresh: {when: one_round == 1, title: y}
+show:
+  tables:
+    t: {per: player_match, columns: [{stat: any}, {stat: two}]}
+    e: {per: event, columns: [{stat: highlight}, {stat: tick}]}
+  scoreboard: [{stat: any}]
+"""
+    doc = doc.replace("  one: {", "  one_round: {count: kill, per: round}\n  one: {")
+    planner = Planner(log, players, MATCH)
+    report = planner.run(model.read(doc))["edges"]
+    got = {r["player"]: r for r in report.game.collect()}
+    # 1 kills 6, then dies to 6; 6 died before
+    assert {p: (r["armed"], r["again"], r["one"], r["two"], r["hurts"]) for p, r in got.items()} == {1: (False, 1, 1, 1, 1), 6: (True, 1, 1, 1, 0), 2: (False, 0, 0, 0, 0), 7: (False, 0, 0, 0, 0)}
+    assert {r["player"]: (r["any"], r["two"]) for r in report.tables["t"].collect()}[1] == (True, 1)
+    assert {r["player"]: r["any.count"] for r in report.tables["scoreboard_game"].collect()}[1] == 1
+    assert {(r["highlight"], r["player"], r["tick"]) for r in report.tables["e"].collect()} == {(h, p, t) for h in ("any", "fresh") for p, t in ((1, 7), (6, 13))}
+
+
+def test_broken_rulesets_are_left_out(phases):
+    log, players = phases
+    docs = """
+ruleset: bad
+exports: [a]
+stats: {a: {count: kil}, b: {count: kill, where: victim.helth > 3}, c: {count: kill, match: {weapn: x}}}
+---
+ruleset: above
+use: [bad]
+stats: {a: {count: kill}}
+---
+ruleset: good
+stats: {a: {count: kill}, b: {sum: event.DmgHealth, on: damage_dealt}, d: {count: b}}
+---
+ruleset: fine
+stats: {a: {count: kill}}
+"""
+    planner = Planner(log, players, MATCH)
+    assert list(planner.run(model.read(docs), strict=False)) == ["fine"]
+    said = {k: " ".join(map(str, v)) for k, v in planner.excluded.items()}
+    assert all(x in said["bad"] for x in ("did you mean 'kill'?", "did you mean 'victim.health'?", "did you mean 'weapon'?"))
+    assert "left out" in said["above"] and "rising edges" in said["good"]
+    with pytest.raises(RuleError):
+        Planner(log, players, MATCH).run(model.read(docs))
+    with pytest.raises(RuleError):
+        model.read("ruleset: x\nstats: {a: {count: kill, actor: other}}")
