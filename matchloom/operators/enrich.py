@@ -78,6 +78,13 @@ def _dead(slot: Column, deaths: str = "deaths") -> Column:
     return truth(F.exists(deaths, lambda d: (d["slot"] == slot) & (d["seq"] < F.col("seq")) & ~d["self"]))
 
 
+def roster(log: DataFrame, players: DataFrame, most: int = 63) -> DataFrame:
+    """``players`` and those of slots 0 to ``most`` that are first seen in events; what is not known of them is null."""
+    roles = [c for c in ROLES if c in log.columns]
+    seen = log.select("match_id", F.explode(F.array(*[F.col(c).cast("long") for c in roles])).alias("player")).where(F.col("player").between(0, most)).distinct()
+    return players.unionByName(seen.join(players.select("match_id", "player"), ["match_id", "player"], "left_anti"), allowMissingColumns=True)
+
+
 def enrich(log: DataFrame, players: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """``log``: match_id, seq, tick, event and payload; ``players``: match_id, player, team; ``state``: match_id, player,
     seq and columns of ``STATE``, a row for each change, null where a column does not change.

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 def top_with_rest(df: DataFrame, by: str, n: int, rest: str = "other") -> DataFrame:
     """The ``n`` most frequent values of ``by`` with their counts, and one row for all others."""
     counts = df.groupBy(by).agg(F.count("*").alias("n"))
-    placed = counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), by)))
-    name = F.when(F.col("place") <= n, F.col(by)).otherwise(F.lit(rest))
-    return placed.groupBy(name.alias(by), F.least("place", F.lit(n + 1)).alias("place")).agg(F.sum("n").alias("n"))
+    # the first n by a heap in each task; they are n rows, so they may be sent along
+    top = counts.orderBy(F.desc("n"), by).limit(n).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), by)))
+    sent = F.broadcast(top.select(F.col(by).alias("_top")))
+    others = counts.join(sent, F.col(by).eqNullSafe(F.col("_top")), "left_anti").agg(F.sum("n").alias("n")).where("n is not null")
+    return top.select(by, "place", "n").unionByName(others.select(F.lit(rest).alias(by), F.lit(n + 1).alias("place"), "n"))
 
 
 def supersede(df: DataFrame, keys: Sequence[str], group: str, score: str) -> DataFrame:

@@ -53,8 +53,30 @@ def bursts(df: DataFrame, keys: Sequence[str], order: Sequence[str], at: str, ga
     return rising(df.withColumn("_in", inside), keys, order, F.col("_in"), out).drop("_in")
 
 
-def rounds(df: DataFrame, match: Sequence[str], order: Sequence[str], starts: Column, restarts: Column | None = None, out: str = "round_number") -> DataFrame:
-    """Rounds started so far; a restart begins at 0 again."""
+def numbered(df: DataFrame, keys: Sequence[str], order: str, starts: Column, out: str, block: int = 1 << 16) -> DataFrame:
+    """How many ``starts`` a key has had by each row, in the order of a whole number.
+
+    Counted by block of ``block`` numbers first, then inside each, so one key with all rows is many tasks; what is
+    summed up in one place is a row for each block.
+    """
+    df = df.withColumns({"_block": F.floor(F.col(order) / block), "_start": F.coalesce(starts, F.lit(False))})
+    each = df.groupBy(*keys, "_block").agg(F.count_if("_start").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.select(*keys, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.count_if("_start").over(Window.partitionBy(*keys, "_block").orderBy(order))
+    return df.withColumn("_inside", inside).join(each, [*keys, "_block"]).withColumn(out, F.col("_before") + F.col("_inside")).drop("_block", "_start", "_inside", "_before")
+
+
+def rounds(df: DataFrame, match: Sequence[str], order: Sequence[str], starts: Column, restarts: Column | None = None, out: str = "round_number", block: int | None = None) -> DataFrame:
+    """Rounds started so far; a restart begins at 0 again.  With ``block``, one match that holds most rows is many tasks,
+    and ``order`` is one whole number (see ``numbered``)."""
+    if block is not None:
+        starts = F.coalesce(starts, F.lit(False))
+        df = numbered(df, match, order[0], F.lit(False) if restarts is None else restarts, "segment", block)
+        df = numbered(df, match, order[0], starts, "_all", block).withColumn("_earlier", F.col("_all") - starts.cast("long"))
+        # rounds that earlier segments have started: what the first row of the segment found
+        first = df.groupBy(*match, "segment").agg(F.min("_earlier").alias("_first"))
+        return df.join(first, [*match, "segment"]).withColumn(out, F.col("_all") - F.col("_first")).drop("_all", "_earlier", "_first")
     w = _w(match, order)
     if restarts is not None:
         df = df.withColumn("segment", F.count_if(F.coalesce(restarts, F.lit(False))).over(w))

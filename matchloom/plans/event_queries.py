@@ -214,7 +214,7 @@ def spray_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     select side, segment, max(round_number) as rounds, count(*) as events from r group by side, segment""")
 def round_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rounds of each side by running count of a marker, anew after every restart."""
-    found = runs.rounds(event_log(spark, sf_dir), ["side"], SEQ, _is("error"), _is("signup"))
+    found = runs.rounds(event_log(spark, sf_dir), ["side"], SEQ, _is("error"), _is("signup"), block=1 << 16)
     return found.groupBy("side", "segment").agg(F.max("round_number").alias("rounds"), F.count("*").alias("events"))
 
 
@@ -275,10 +275,9 @@ def team_lookup_scd2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(L + "select seq, count(*) filter (event = 'signup' and actor = 7) over (order by seq) as round_number from log qualify event = 'click'")
 def event_to_round(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The round that an event falls in; rounds are few, so the place among their starts is a search in one small array."""
-    log = event_log(spark, sf_dir)
-    starts = log.where(_is("signup") & (C("actor") == 7)).agg(F.array_sort(F.collect_list("seq")).alias("s")).scalar()
-    return log.where(_is("click")).select("seq", starts.alias("s")).select("seq", F.size(F.filter("s", lambda x: x <= C("seq"))).cast("long").alias("round_number"))
+    """The round that an event falls in, of all rounds of the log."""
+    log = event_log(spark, sf_dir).select("seq", "event", (_is("signup") & (C("actor") == 7)).alias("start"))
+    return runs.numbered(log, [], "seq", C("start"), "round_number").where(_is("click")).select("seq", "round_number")
 
 
 @query(L + """select a.actor, r.day, coalesce(n, 0) as n, cast(coalesce(total, 0) as double) as total from (select distinct actor from log) a cross join (select distinct day from log) r

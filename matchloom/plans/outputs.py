@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.operators import ranking
+from matchloom.functions import scalar
+from matchloom.lang import expr
+from matchloom.lang.diagnostics import Diagnostic, RuleError
+from matchloom.operators import ranking, runs
 from matchloom.operators.enrich import ENDS
+from matchloom.rules.catalog import Catalog
 
 
 def rounds(log: DataFrame, clock: str = "tick") -> DataFrame:
@@ -44,3 +48,18 @@ def clips(moments: DataFrame, rounds_: DataFrame, players: DataFrame, rate: floa
     roster = players.select("match_id", "player", F.col("player_name"))
     named = merged.join(roster, ["match_id", "player"], "left").withColumn("player_name", F.coalesce("player_name", F.lit("")))
     return named.orderBy(F.lower("match_id"), "start")
+
+
+def matching(log: DataFrame, text: str, catalog: Catalog, actor: str | None = None, edges: bool = False, rate: float = 64.0) -> DataFrame:
+    """match_id, seq, tick of the events for which an expression holds, or with ``edges`` for which it turns true.
+
+    ``actor``: the column that names the player that ``player.`` names are of.
+    """
+    node = expr.parse(text, rate)
+    types = lambda n: catalog.event.get(n[6:]) if n.startswith("event.") else catalog.names.get(n, (None,))[0]
+    if (kind := expr.check(node, types)) not in ("bool", "null"):
+        raise RuleError(Diagnostic("E_TYPE", f"is {kind}, not bool"))
+    of = lambda n: F.col(n[6:]) if n.startswith("event.") else F.col(catalog.names[n][1].format(actor=actor or "player"))
+    when = scalar.truth(expr.column(node, of, types))
+    found = runs.rising(log, ["match_id"], ["seq"], when).where("edge") if edges else log.where(when)
+    return found.select("match_id", "seq", "tick").orderBy("match_id", "seq")

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.lang.diagnostics import RuleError
-from matchloom.operators.enrich import enrich, player_rounds
+from matchloom.operators.enrich import enrich, player_rounds, roster
+from matchloom.plans import outputs
 from matchloom.plans.ruleset import Planner
 from matchloom.rules import model
 from matchloom.rules.catalog import MATCH
@@ -247,6 +248,17 @@ show:
     assert {(r["highlight"], r["player"], r["tick"]) for r in report.tables["e"].collect()} == {(h, p, t) for h in ("any", "fresh") for p, t in ((1, 7), (6, 13))}
 
 
+def test_queries_of_the_log(phases, spark):
+    log, players = phases
+    found = outputs.matching(log, "event.Attacker > 0 and round.enemies.alive >= 1", MATCH, "Attacker").collect()
+    assert [r["seq"] for r in found] == [7, 13, 16]
+    assert [r["seq"] for r in outputs.matching(log, "round.bomb.status == 'Planted'", MATCH, edges=True).collect()] == [8]
+    with pytest.raises(RuleError):
+        outputs.matching(log, "event.Attacker + 1", MATCH)
+    more = roster(log, players.where("player <> 7")).collect()
+    assert sorted((r["player"], r["team"]) for r in more) == [(1, 2), (2, 2), (6, 3), (7, None)]
+
+
 def test_broken_rulesets_are_left_out(phases):
     log, players = phases
     docs = """

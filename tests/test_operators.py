@@ -199,7 +199,7 @@ def test_streams(spark, tmp_path, events, log):
 
     got = ran(lambda s: twins.bursts(s, 120, 3), "append", "pulses")
     assert {(r["player"], r["seq"]) for r in got} == _bursts(events, 120, 3)
-    got = ran(lambda s: twins.streaks(s, 50, 2), "update", "streaks")
+    got = ran(lambda s: twins.streaks(s, 50, 2, forget=3_600_000), "update", "streaks")
     assert {p: max(r["streaks"] for r in got if r["player"] == p) for p in range(4)} == _streaks(events, 50, 2)
 
 

@@ -102,3 +102,26 @@ def test_snapshot_diff(spark, events, folder):
     middle, end = ({actor: k for s, _, actor, _, _, k in events if s <= upto} for upto in (events[-1][0] // 2, events[-1][0]))
     want = [(a, middle.get(a), k) for a, k in end.items() if middle.get(a) != k]
     assert _rows(spark, folder, "snapshot_diff") == sorted(want)
+
+
+def test_numbered_by_block(spark, events):
+    """Small blocks and whole windows number alike, restarts included."""
+    from pyspark.sql import functions as F
+
+    from matchloom.operators import runs
+
+    df = spark.createDataFrame([(s, a % 2, e) for s, _, a, e, _, _ in events], "seq long, side int, event string")
+    starts, restarts = F.col("event") == "error", F.col("event") == "signup"
+    for again in (restarts, None):
+        columns = ["side", "seq", "round_number", *(["segment"] if again is not None else [])]
+        whole = runs.rounds(df, ["side"], ["seq"], starts, again).select(*columns)
+        parts = runs.rounds(df, ["side"], ["seq"], starts, again, block=16).select(*columns)
+        assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
+
+
+def test_top_with_rest(spark):
+    from matchloom.operators import ranking
+
+    df = spark.createDataFrame([(x,) for x in "aaabbbccd"] + [(None,)] * 5, "k string")
+    got = lambda n: sorted((r.place, r.k, r.n) for r in ranking.top_with_rest(df, "k", n).collect())
+    assert got(2) == [(1, None, 5), (2, "a", 3), (3, "other", 6)] and got(9) == [(1, None, 5), (2, "a", 3), (3, "b", 3), (4, "c", 2), (5, "d", 1)]
