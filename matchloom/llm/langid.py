@@ -37,7 +37,7 @@ def sample(docs: DataFrame, label: str, key: str, rows: int) -> DataFrame:
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_where: Column | None = None, config: Config = Config()) -> Model:  # noqa: B008
     rows = docs.select(
         docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")
-    ).where("text is not null and lang is not null")
+    ).where(F.col("lang").isNotNull() & (F.char_length("text") <= config.longest))
     if train_where is not None:
         rows = rows.where(train_where)
     found = [(r["text"].lower(), r["lang"]) for r in sample(rows, "lang", "doc_id", config.rows).orderBy("doc_id", "text").toLocalIterator()]

@@ -26,8 +26,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     marked = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     if train_where is not None:
         marked = marked.where(train_where)
-    picked = sample(marked, "label", "doc_id", config.rows)
-    rows = texts(docs, id_col, text_col).where("text is not null").join(F.broadcast(picked), "doc_id")
+    # a label said twice counts once, so what is sent along has ``rows`` of each class at most
+    picked = sample(marked.distinct(), "label", "doc_id", config.rows)
+    rows = texts(docs, id_col, text_col).where(F.char_length("text") <= config.longest).join(F.broadcast(picked), "doc_id")
+    # of several texts with one id that with the smallest hash
+    rows = rows.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     found = [(r["text"], r["label"]) for r in rows.orderBy("doc_id", "text", "label").toLocalIterator()]
     return train(found, [0, 1], config)
 

@@ -21,13 +21,15 @@ _REMEMBER = 200_000
 
 @dataclass(frozen=True)
 class Config:
-    """Parameters of training; ``rows`` bounds the sample of labelled rows of each class."""
+    """Parameters of training; ``rows`` bounds the sample of labelled rows of each class, ``longest`` the characters of
+    a text in it, so that what the driver holds is bounded (texts that are scored have any length)."""
 
     buckets: int = 1 << 17
     dim: int = 12
     ngrams: tuple[int, ...] = (2, 3)
     pairs: bool = False
     rows: int = 1500
+    longest: int = 50_000
     epochs: int = 5
     rate: float = 0.3
     vector_rate: float = 2.0

@@ -254,6 +254,21 @@ def test_training_is_repeatable():
     assert (one == two).all()
 
 
+def test_quality_keeps_what_it_scores(docs, spark):
+    good = [(k, f"the river {k} runs by the old mill and the road {k % 7}", "en", "s") for k in range(60)]
+    bad = [(100 + k, f"buy### now$$$ {k} win%%% cash&&& click###", "en", "s") for k in range(60)]
+    rows = [*good, *bad, (3, "another text of one id", "en", "t"), (500, None, "en", "s"), (501, "", "en", "s"), (None, "the mill and the river", "en", "s")]
+    df = docs(rows)
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, *_ in good + bad for _ in range(3)] + [(None, 1), (7, None)], "doc_id long, quality int")
+    model = quality_classifier.fit(df, labels)
+    kept = quality_classifier.keep(df, model)
+    want = sorted((repr((r.doc_id, r.score >= 0.5)) for r in quality_classifier.score(df, model).collect()))
+    assert kept.columns == df.columns
+    ids = [repr(r.doc_id) for r in kept.collect()]
+    assert sorted(ids) == sorted(w[1 : w.rindex(",")] for w in want if w.endswith("True)"))
+    assert {r.doc_id for r in kept.where("doc_id < 500").collect()} == set(range(60))
+
+
 def test_pipeline(spark, tmp_path, docs, prose):
     pipeline = pytest.importorskip("corpus_pipeline")
     rows = [(i, t, "en", f"s{(i or 0) % 3}") for i, t in prose]
