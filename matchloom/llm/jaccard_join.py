@@ -54,7 +54,7 @@ _SCHEMA = pa.schema([("slot", pa.int32()), ("body", pa.binary())])
 _ROWS = "slot int, body binary"
 _LOW = np.uint64(0xFFFFFFFF)
 #: Bytes of text whose signatures a task packs together.
-_FLUSH = 16 << 20
+_FLUSH = 8 << 20
 #: Bits of the map of wanted texts; more texts than bits only make it pass more.
 _MAP_BITS = 24
 #: Partners that one copy of a text is compared with in one task.
@@ -338,7 +338,7 @@ class Join:
                 if (right_set := known.get(right)) is None:
                     right_set = shingles(raws[right], self.size)
                     size += len(right_set)
-                    if size > 8_000_000:
+                    if size > 4_000_000:
                         known, size = {}, len(right_set)
                     known[right] = right_set
                 a.append(own[16 * k : 16 * k + 16])
@@ -351,7 +351,6 @@ class Join:
 def components(links: DataFrame) -> DataFrame:
     """node, label (the smallest node of its component) of every node with a link, by alternating stars."""
     edges = written(links.where("a <> b").distinct())
-    before = None
     while True:
         # large star: larger neighbours of a node go to its smallest neighbour
         both = edges.union(edges.select("b", "a"))
@@ -362,11 +361,11 @@ def components(links: DataFrame) -> DataFrame:
         edges = written(
             large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         )
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
+        # done when only stars are left: every node has one smaller neighbour, which has none
+        centres = edges.select(F.col("b").alias("centre")).distinct()
+        again = edges.groupBy("a").agg(F.count("*").alias("n")).join(centres, F.col("a") == F.col("centre"), "left").where("n > 1 or centre is not null")
+        if again.isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(centres.select("centre", "centre"))
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -502,9 +501,10 @@ def classes(docs: DataFrame, *, size: int = 5, percent: int = 80, few: int = 8)
     labels = written(components(judged.where("linked").select("a", "b")))
     shared = judged.select(F.col("a").alias("lead"), F.col("b").alias("print"), "both")
     rest = written(_rest(asks, leads, shared, labels, j))
-    if not rest.isEmpty():
+    more = written(_verified(rest, sets, j).where("linked").select("a", "b")) if not rest.isEmpty() else rest
+    if not more.isEmpty():
         old = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
-        labels = written(components(_verified(rest, sets, j).where("linked").select("a", "b").union(old)))
+        labels = written(components(more.union(old)))
     each = each.join(labels.withColumnRenamed("node", "print"), "print", "left")
     return each.select("doc_id", "n_shingles", "key", "print", F.coalesce("label", "print").alias("label"))
 
