@@ -15,7 +15,7 @@ below the former as that lies below the trusted median; without trusted ones all
 0 and nothing is below the threshold.
 
 DataFrame functions only.  The table of ratios has ``buckets`` rows, whatever the corpus.
-Nothing is shuffled but counts, and texts where the trusted ids are too many to be sent along.
+Counting sends each text once to its label; scoring shuffles nothing.
 
 A null text has no words; a text without n-grams has score 0.  Null ids have no label; an
 id that is both trusted and rejected is trusted; repeated rows count each.
@@ -31,7 +31,7 @@ from matchloom.llm.common import written
 # The white space that separates words, and symbols that are counted.
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-BUCKETS, SCALE = 1 << 18, 1_000_000
+BUCKETS, SCALE = 1 << 17, 1_000_000
 WINDOW, HELD_OUT = 8, 5
 
 
@@ -63,7 +63,8 @@ def _bucket(h, buckets: int):
 
 def ratios(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
     """One row: the array of log-likelihood ratios by bucket, in whole millionths.  ``buckets``: a power of two."""
-    marked = docs.join(trusted.withColumn("good", F.lit(1)), "doc_id", "left")
+    # dealt by id at every size: no table of trusted ids goes to all tasks
+    marked = docs.join(trusted.withColumn("good", F.lit(1)).hint("shuffle_hash"), "doc_id", "left")
     each = grams(marked).select("good", F.explode(F.concat("h", "pairs")).alias("h")).select("good", _bucket(F.col("h"), buckets).alias("bucket"))
     counts = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("target"))
     dense = docs.sparkSession.range(buckets).join(counts, F.col("id") == F.col("bucket"), "left")
