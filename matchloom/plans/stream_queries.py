@@ -17,9 +17,11 @@ L = f"with {LOG_SQL} "
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one where that is not set."""
+    """A new folder below spark.checkpoint.dir, which all executors share; on one machine a temporary one where that is not set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="matchloom-")
