@@ -42,16 +42,35 @@ show:
 """
 
 
-@lru_cache(maxsize=1)
-def _rules():
-    return read(RULES)
+EDGES = """
+ruleset: edges
+stats:
+  open: { flag: true, on: purchase, off: error }
+  opened: { count: open }
+  alarm: { flag: true, on: error, off: { on: click, match: { large: true } }, per: round }
+  alarms: { count: alarm, per: round }
+  all_alarms: { count: alarm }
+  alarm_rounds: { count: error, per: round }
+  views: { count: view }
+  seen: { count: view }
+highlights:
+  second: { when: "alarm_rounds == 2", title: "{alarm_rounds}" }
+show:
+  tables:
+    moments: { per: event, columns: [ { stat: highlight }, { stat: tick } ] }
+"""
+
+
+@lru_cache(maxsize=2)
+def _rules(text: str = RULES):
+    return read(text)
 
 
-def _report(spark: SparkSession, sf_dir: str) -> Report:
+def _report(spark: SparkSession, sf_dir: str, text: str = RULES) -> Report:
     log = event_log(spark, sf_dir)
     log = log.withColumns({"match_id": F.lit("all"), "round_number": F.dayofmonth("day").cast("long"), "value": F.col("value").cast("double")})
     players = log.groupBy("match_id", F.col("actor").alias("player")).agg(F.lit(1).alias("_")).drop("_")
-    return Planner(log, players, EVENTS).run(_rules())["shop"]
+    return next(iter(Planner(log, players, EVENTS).run(_rules(text)).values()))
 
 
 GAME = L + """, r as (select actor, day, count(*) filter (event = 'click') as n from log group by actor, day),
@@ -88,3 +107,30 @@ def rule_chain_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def configured_scoreboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     board = _report(spark, sf_dir).tables["scoreboard_game"]
     return board.select("player", "Clicks", F.coalesce("Sprees", F.lit(0)).alias("Sprees"))
+
+
+@query(L + """, o as (select actor, seq, event = 'purchase' as on_, lag(event = 'purchase') over (partition by actor order by seq) as before from log where event in ('purchase', 'error')),
+    a as (select actor, day, seq, event = 'error' as on_, lag(event = 'error') over (partition by actor, day order by seq) as before from log where event = 'error' or event = 'click' and k >= 50),
+    e as (select actor, count(*) filter (on_ and not coalesce(before, false)) as opened, arg_max(on_, seq) as open from o group by actor),
+    n as (select actor, count(*) filter (on_ and not coalesce(before, false)) as all_alarms from a group by actor),
+    v as (select actor, count(*) filter (event = 'view') as views from log group by actor)
+    select v.actor as player, coalesce(open, false) as open, coalesce(opened, 0) as opened, coalesce(all_alarms, 0) as all_alarms, views, views as seen
+    from v left join e on e.actor = v.actor left join n on n.actor = v.actor""")
+def flag_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags that turn off, and how often they turn on again."""
+    return _report(spark, sf_dir, EDGES).game.select("player", "open", "opened", "all_alarms", "views", "seen")
+
+
+@query(L + """, a as (select actor, day, seq, event = 'error' as on_, lag(event = 'error') over (partition by actor, day order by seq) as before from log where event = 'error' or event = 'click' and k >= 50),
+    n as (select actor, day, count(*) filter (on_ and not coalesce(before, false)) as alarms, arg_max(on_, seq) as alarm from a group by actor, day)
+    select p.actor as player, cast(day(d.day) as bigint) as round_number, coalesce(alarms, 0) as alarms, coalesce(alarm, false) as alarm
+    from (select distinct actor from log) p cross join (select distinct day from log) d left join n on n.actor = p.actor and n.day = d.day""")
+def flag_edges_by_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(spark, sf_dir, EDGES).rounds.select("player", "round_number", "alarms", "alarm")
+
+
+@query(L + """, c as (select actor, day, seq, tick, row_number() over (partition by actor, day order by seq) as n from log where event = 'error')
+    select 'second' as highlight, actor as player, cast(day(day) as bigint) as round_number, seq, tick from c where n = 2""")
+def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A configured table with a row for each moment."""
+    return _report(spark, sf_dir, EDGES).tables["moments"].select("highlight", "player", "round_number", "seq", "tick")
