@@ -70,6 +70,38 @@ def test_pair_matrix(spark, events, folder):
     assert _rows(spark, folder, "pair_matrix") == sorted(want)
 
 
+def test_pairs_by_block(spark, tmp_path):
+    """Blocks change neither pairs nor columns, whatever the ids; files of them are a fraction in size."""
+    from pyspark.sql import functions as F
+
+    from matchloom.operators import correlate
+
+    odd = spark.createDataFrame([(1, -3, 1, 2.0), (1, 4, 2, None), (1, 900, 2, 2.0), (1, 7, 3, float("nan")), (2, 7, 3, 1.0), (None, 4, 2, 1.0), (1, None, None, 1.0)], "day int, actor long, side long, v double")
+    met = lambda rows, *block: correlate.pairs(rows, ["day"], "actor", "side", ["v"], *block)
+    assert met(odd).columns == met(odd, F.floor(F.col("actor") / 128)).columns
+    assert sorted(map(str, met(odd).collect())) == sorted(map(str, met(odd, F.floor(F.col("actor") / 128)).collect()))
+    many = spark.range(1600).select(F.explode(F.expr("sequence(1, 4)")).alias("day"), F.col("id").alias("actor"), (F.col("id") % 2).alias("side"), (F.xxhash64("id") % 1000).cast("double").alias("v")).where("xxhash64(day, actor) % 9 <> 0")
+    size = {}
+    for name, rows in (("plain", met(many)), ("block", met(many, F.floor(F.col("actor") / 128)))):
+        rows.select("day", "actor", "other_actor", (F.col("v") >= F.col("other_v")).alias("ahead")).write.parquet(str(tmp_path / name))
+        size[name] = sum(p.stat().st_size for p in (tmp_path / name).glob("*.parquet"))
+    assert size["block"] * 3 < size["plain"], size
+
+
+def test_pair_matrix_is_small_on_disk(spark, tmp_path):
+    """Fewer than half a byte for a pair: what a day's pairs take on disk bounds the job."""
+    kinds = {"event_id": pa.int64(), "user_id": pa.int64(), "value": pa.float64()}
+    n = 4000
+    rng = random.Random(3)
+    rows = {"event_id": range(n), "user_id": [rng.randrange(900) for _ in range(n)], "value": [rng.randrange(10_000) / 100 for _ in range(n)]}
+    at = pa.array([datetime.datetime(2024, 1, 1 + s * 2 // n) for s in range(n)], pa.timestamp("us"))
+    pq.write_table(pa.table({**{k: pa.array(v, kinds[k]) for k, v in rows.items()}, "ts": at, "event_type": ["view"] * n, "props": ['{"k": 1}'] * n}), str(tmp_path / "events.parquet"))
+    QUERIES["pair_matrix"](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    size = sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet"))
+    pairs = spark.read.parquet(str(tmp_path / "out")).count()
+    assert pairs > 500_000 and size < pairs / 2, (size, pairs)
+
+
 def test_player_round_spine(spark, events, folder):
     n, total = Counter(), Counter()
     for _, day, actor, _, value, _ in events:
