@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.operators import correlate, geometry
+from matchloom.operators import geometry
 from matchloom.plans.registry import query
 from matchloom.sources.tables import HOUR, LOG_SQL, event_log, table
 from matchloom.streaming import twins
@@ -77,14 +77,8 @@ def _mesh() -> np.ndarray:
 @query()
 def visibility_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For how many moments a day each user could see each user of the other side, in a grid of rooms that events place them in."""
-    at = event_log(spark, sf_dir).groupBy("day", "actor", "side").agg(
+    # y follows from x, so there are no more than 1999 places
+    at = event_log(spark, sf_dir).groupBy(F.unix_date("day").cast("long").alias("day"), "actor", "side").agg(
         (F.sum("k") % 1000).cast("double").alias("x"), (F.sum(F.col("k") * 7) % 1000).cast("double").alias("y")
     )
-    pairs = correlate.pairs(at, ["day"], "actor", "side", ["x", "y"])
-    ways = pairs.select(
-        "day", "actor", "other_actor", *[F.col(c).alias(n) for c, n in (("x", "sx"), ("y", "sy"))], F.lit(64.0).alias("sz"), F.col("other_x").alias("ex"), F.col("other_y").alias("ey"), F.lit(46.0).alias("ez")
-    )
-    # many pairs stand at the same two places: each way is tested once
-    way = ["sx", "sy", "sz", "ex", "ey", "ez"]
-    seen = ways.join(geometry.sight(ways.select(*way).distinct(), _mesh()), way)
-    return seen.groupBy("actor", "other_actor").agg(F.count_if("visible").alias("seen"), F.count("*").alias("meetings"))
+    return geometry.times_seen(at, "day", "actor", "side", 64.0, 46.0, _mesh())

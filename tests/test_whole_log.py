@@ -62,6 +62,36 @@ def test_visibility_pairs(spark, events, folder):
     assert {a for a, *_ in got} == set(USERS) and 0 < sum(seen.values()) < sum(meetings.values())
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_times_seen(spark, monkeypatch, small):
+    """Blocks, tiles and counts in bytes change nothing: against a fold; nulls, a third side, ids of any size, who is alone."""
+    if small:
+        monkeypatch.setattr(geometry, "PLAYERS", 7)
+        monkeypatch.setattr(geometry, "TILE", 3)
+        monkeypatch.setattr(geometry, "KEYS", 2)
+    rng = random.Random(5)
+    ids = [-5, -4, 3, 8, 2**40, 2**40 + 1, *range(100, 120)]
+    rows = [(d, a, a % 2 + 2 if a > 0 else 1, *((float(x := rng.randrange(0, 900, 60)), x * 7.0 % 1000) if rng.random() < 0.9 else (None, None))) for d in range(7) for a in ids if rng.random() < 0.7]
+    rows += [(99, 3, 3, 1.0, 7.0), (None, 3, 3, 1.0, 7.0)]
+    tree = geometry.Tree.build(stream_queries._mesh())
+    want = Counter(), Counter()
+    for d, a, s, *at in rows:
+        for e, b, t, *to in rows:
+            if d == e and s != t and None not in (d, *at, *to):
+                want[0][a, b] += int(geometry.visible(tree, np.array([[*at, 64.0]]), np.array([[*to, 46.0]]))[0])
+                want[1][a, b] += 1
+    df = spark.createDataFrame(rows, "day long, actor long, side int, x double, y double")
+    got = geometry.times_seen(df, "day", "actor", "side", 64.0, 46.0, stream_queries._mesh()).collect()
+    assert sorted(map(tuple, got)) == sorted((a, b, want[0][a, b], n) for (a, b), n in want[1].items())
+
+
+def test_visibility_pairs_moves_no_pairs(spark, folder):
+    """Pairs of a day are never rows: what joins is blocks of players, of which this log has one."""
+    plan = QUERIES["visibility_pairs"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    joins = plan.count("Join ")
+    assert joins == 1 and "other_x" not in plan, plan
+
+
 def test_pair_matrix(spark, events, folder):
     at = Counter()
     for _, day, actor, _, value, _ in events:
