@@ -382,20 +382,28 @@ def repeated(digit: Callable[[int, np.ndarray], np.ndarray], digits: int, group:
     """Windows that a smaller document has too.
 
     ``digit(d, rows)``: digit ``d`` of the windows ``rows``; ``group``: of windows that may be equal, at first.
-    Each pass orders what is left of a group by one digit more and drops groups of a single document.
+    Each pass orders what is left of a group by one digit more and drops groups of a single document.  A group
+    whose windows have one digit is in order as it is, so only those that a digit parts are sorted.
     """
-    rows = np.arange(len(doc))
+    rows = np.arange(len(doc)) if (group[1:] >= group[:-1]).all() else np.argsort(group, kind="stable")
+    group = group[rows]
     for d in range(-1, digits):
         if d >= 0:
             value = digit(d, rows)
-            order = np.lexsort((value, group))
-            rows, group, value = rows[order], group[order], value[order]
-            group = np.cumsum(np.concatenate(([0], ((group[1:] != group[:-1]) | (value[1:] != value[:-1])).astype(np.int64)))) if len(rows) else group
+            apart = value[1:] != value[:-1]
+            odd = apart & (group[1:] == group[:-1])
+            if not odd.any():
+                continue
+            parted = np.zeros(int(group[-1]) + 1, bool)
+            parted[group[1:][odd]] = True
+            at = np.flatnonzero(parted[group])
+            order = at[np.lexsort((value[at], group[at]))]
+            rows[at], value[at] = rows[order], value[order]
+            group = np.cumsum(np.concatenate(([0], ((group[1:] != group[:-1]) | (value[1:] != value[:-1])).astype(np.int64))))
         several, _ = _several(group, doc[rows])
-        rows, group = rows[several], group[several]
+        rows, group = rows[several], _split(group[several])
         if not len(rows):
             return rows
-        group = np.unique(group, return_inverse=True)[1]
     _, low = _several(group, doc[rows])
     return rows[doc[rows] > low]
 
@@ -436,8 +444,7 @@ def _judge(t: Tokens, kind: Bytes | Words, buckets: int, parts: int) -> Callable
             # groups of equal hashes stay together
             for few in _portions(np.arange(len(first)), np.diff(np.concatenate((first, [len(group)])))):
                 a, b = int(first[few[0]]), int(first[few[-1] + 1]) if few[-1] + 1 < len(first) else len(group)
-                part, own = np.unique(string[a:b], return_inverse=True)
-                digit, digits = kind.digits(x["text"], starts[part], sizes[part], own, place[a:b])
+                digit, digits = kind.digits(x["text"], starts, sizes, string[a:b], place[a:b])
                 hit = repeated(digit, digits, group[a:b] - group[a], x["doc"][string[a:b]]) + a
                 if len(hit):
                     hit = hit[np.lexsort((place[hit], string[hit]))]
@@ -497,12 +504,9 @@ class Bytes:
         return _mix(rolled[(np.cumsum(size) - size)[string] + inside])
 
     def digits(self, text: np.ndarray, start: np.ndarray, size: np.ndarray, string: np.ndarray, inside: np.ndarray) -> tuple[Callable, int]:
-        own = _gather(text, start, size)
-        words = np.zeros(len(own), np.uint64)
-        padded = np.concatenate((own, np.zeros(8, np.uint8)))
-        for k in range(8):
-            words |= padded[k : k + len(own)].astype(np.uint64) << np.uint64(56 - 8 * k)
-        at = (np.cumsum(size) - size)[string] + inside
+        # eight bytes from any place on; whole windows are read, so none ends behind the text
+        words = np.lib.stride_tricks.as_strided(text[: len(text) - len(text) % 8].view(np.uint64), (max(0, len(text) - 7),), (1,), writeable=False)
+        at = start[string] + inside
         return lambda d, rows: words[at[rows] + min(8 * d, self.width - 8)], -(-self.width // 8)
 
 
@@ -521,6 +525,8 @@ class Words:
         return _mix(_rolled(hashes, self.width)[first[string] + inside])
 
     def digits(self, text: np.ndarray, start: np.ndarray, size: np.ndarray, string: np.ndarray, inside: np.ndarray) -> tuple[Callable, int]:
+        part, string = np.unique(string, return_inverse=True)
+        start, size = start[part], size[part]
         number: dict[bytes, int] = {}
         ids: list[int] = []
         first = []

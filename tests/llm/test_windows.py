@@ -67,3 +67,35 @@ def test_sliding(n):
     x = np.random.default_rng(n).integers(0, 1 << 60, 100).astype(np.uint64)
     assert (windows._over(x, n, np.minimum, True) == [x[k : k + n].min() for k in range(100 - n + 1)]).all()
     assert (windows._over(x, n, lambda a, b: a + b, False) == [x[k : k + n].sum() for k in range(100 - n + 1)]).all()
+
+
+def test_passes_sort_only_what_a_digit_parts(monkeypatch):
+    """Groups whose windows have one digit are in order; those that a digit parts are still told apart, digit by digit."""
+    rng = np.random.default_rng(4)
+    group = np.repeat(np.arange(60), 20)
+    doc = rng.integers(0, 5, len(group))
+    words = np.repeat(rng.integers(0, 9, (60, 3)), 20, 0).astype(np.uint64)
+    odd = group % 20 == 7
+    words[odd, 2] = rng.integers(0, 3, odd.sum())  # three groups with collisions that only the last digit parts
+    sorted_, lexsort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sorted_.append(len(keys[0])) or lexsort(keys))
+    low = {}
+    for g, w, d in zip(group.tolist(), map(tuple, words.tolist()), doc.tolist(), strict=True):
+        low[g, w] = min(d, low.get((g, w), d))
+    want = [k for k, (g, w, d) in enumerate(zip(group.tolist(), map(tuple, words.tolist()), doc.tolist(), strict=True)) if d > low[g, w]]
+    for shuffled in (False, True):
+        order = rng.permutation(len(group)) if shuffled else np.arange(len(group))
+        got = windows.repeated(lambda d, rows: words[order][rows, d], 3, group[order], doc[order])
+        assert sorted(order[got].tolist()) == want
+    assert sum(sorted_) == 2 * odd.sum()
+
+
+def test_bytes_at_any_place():
+    """Eight bytes read where they lie, in a text of any length, up to its very end."""
+    for n in (50, 53, 57, 64):
+        text = np.frombuffer(bytes(range(n)), np.uint8)
+        at = np.arange(n - 49)
+        digit, digits = windows.Bytes(50).digits(text, np.array([0]), np.array([n]), np.zeros(len(at), np.int64), at)
+        for d in range(digits):
+            k = min(8 * d, 42)
+            assert [x.tobytes() for x in digit(d, at)] == [text[a + k : a + k + 8].tobytes() for a in at]
