@@ -12,10 +12,12 @@ Rules that every operator here follows:
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -100,6 +102,24 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/matchloom/{uuid.uuid4().hex}"
 
 
+def give_back(spark: SparkSession) -> None:
+    """The driver's free memory goes back to the system: what its JVM keeps outside the heap,
+    as every thread pool and compiler leaves some in each of dozens of arenas, and what its
+    Python keeps.  Nothing happens where a JVM (before 17.0.9) or a C library has no such call."""
+    jvm = spark._jvm
+    try:
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        pass
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows of ``df`` as a table in the shared folder: cuts lineage, and is
     computed once however often it is read.  It goes when the driver ends."""
@@ -108,6 +128,7 @@ def written(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    give_back(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

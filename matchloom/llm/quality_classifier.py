@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import crc_mod, filter_batches, map_batches, texts
+from matchloom.llm.common import crc_mod, filter_batches, give_back, map_batches, texts
 from matchloom.llm.langid import sample
 from matchloom.llm.subword import Config, Model, train
 
@@ -31,8 +31,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     rows = texts(docs, id_col, text_col).where(F.char_length("text") <= config.longest).join(F.broadcast(picked), "doc_id")
     # of several texts with one id that with the smallest hash
     rows = rows.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    found = [(r["text"], r["label"]) for r in rows.orderBy("doc_id", "text", "label").toLocalIterator()]
-    return train(found, [0, 1], config)
+    model = train(((r["text"], r["label"]) for r in rows.orderBy("doc_id", "text", "label").toLocalIterator()), [0, 1], config)
+    give_back(docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,6 +11,7 @@ that table is all that goes to the tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -71,16 +72,17 @@ def _pair(a: np.ndarray, b: np.ndarray, c: Config) -> np.ndarray:
 
 
 def _counted(text: str, c: Config) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text and how often each occurs."""
+    """Distinct buckets of a text and how often each occurs, in four bytes each, as the driver holds those of the whole sample."""
     words = text.split()
     if not words:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int32), np.empty(0, np.int32)
     features, first, _ = _features(words, c)
     own = features[0][first]
     at = np.concatenate([f[f >= 0] for f in features])
     if c.pairs and len(own) > 1:
         at = np.concatenate((at, _pair(own[:-1], own[1:], c)))
-    return np.unique(at, return_counts=True)
+    at, count = np.unique(at, return_counts=True)
+    return at.astype(np.int32), count.astype(np.int32)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -151,8 +153,8 @@ class Model:
         return _softmax((mean + self.bias) / self.temperature)
 
 
-def train(rows: list[tuple[str, object]], classes: list, c: Config) -> Model:
-    """Fit on (text, label) rows; every tenth row sets the temperature only.
+def train(rows: Iterable[tuple[str, object]], classes: list, c: Config) -> Model:
+    """Fit on (text, label) rows, of which one text is held at a time; every tenth row sets the temperature only.
 
     Without rows the model knows its classes only, all alike.
     """

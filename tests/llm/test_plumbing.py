@@ -1,12 +1,14 @@
 """Hashes of words, places of repeated values, slots and folders."""
 
 import random
+import re
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
 import pytest
 
-from matchloom.llm import common, windows, wordhash
+from matchloom.llm import common, subword, windows, wordhash
 
 
 @pytest.mark.parametrize("lower", [False, True])
@@ -53,3 +55,32 @@ def test_a_cluster_needs_a_shared_folder():
         assert common.shared_folder(session(master, "hdfs://x/c")).startswith("hdfs://x/c/matchloom/")
     for master in ("local", "local[4]", "local[*]"):
         assert "matchloom" in common.shared_folder(session(master, None))
+
+
+def test_free_memory_of_the_driver_goes_back(spark):
+    """What the JVM has freed outside its heap, but keeps, is given back whenever a table is written."""
+    pid = spark._jvm.java.lang.ProcessHandle.current().pid()
+    held = lambda: int(re.search(r"Anonymous:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text())[1]) >> 10
+    common.written(spark.range(3))  # what a first job loads
+    block = bytes(64 << 10)
+    made = [spark._jvm.java.util.zip.Deflater() for _ in range(800)]
+    for d in made:
+        d.setInput(block)
+        d.deflate(bytearray(10))
+    for d in made[:-1]:
+        d.end()
+    before = held()
+    assert common.written(spark.range(3)).count() == 3
+    assert held() < before - 60
+    made[-1].end()
+
+
+def test_the_sample_takes_eight_bytes_a_feature():
+    c = subword.Config(pairs=True)
+    text = " ".join(f"w{k % 700} again" for k in range(2000))
+    at, count = subword._counted(text, c)
+    assert at.nbytes + count.nbytes == 8 * len(at) and (np.diff(at) > 0).all() and 0 <= at.min() and at.max() < c.buckets
+    assert count.sum() == sum(len(w) + 2 - n + 1 for w in text.split() for n in c.ngrams) + 4000 + 3999
+    rows = [(f"{w} {k} some words", k % 2) for k, w in enumerate(["left", "right"] * 30)]
+    one, two = subword.train(rows, [0, 1], c), subword.train(iter(rows), [0, 1], c)
+    assert (one.table == two.table).all() and one.temperature == two.temperature
