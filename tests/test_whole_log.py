@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -132,6 +133,42 @@ def test_pair_matrix_is_small_on_disk(spark, tmp_path):
     assert pairs > 500_000 and size < pairs / 2, (size, pairs)
 
 
+def test_pairs_by_size(spark):
+    """Blocks of a given size change neither pairs nor columns; a key with many rows is the work of many tasks, and none has half of it."""
+    from pyspark.sql import functions as F
+
+    from matchloom.operators import correlate
+
+    odd = [(1, -3, 1, 2.0, "a"), (1, 4, 2, None, "b"), (1, 900, 2, 2.0, None), (1, 900, 2, 2.0, None), (1, 900, 1, 7.0, "c"), (1, 7, 3, float("nan"), "d"), (2, 7, 3, 1.0, "e"), (None, 4, 2, 1.0, "f"), (1, None, None, 1.0, "g"), (1, None, 2, 1.0, "h")]
+    odd = spark.createDataFrame(odd, "day int, actor long, side long, v double, more string")
+    for columns in ([], ["v"], ["v", "more"]):
+        want = correlate.pairs(odd, ["day"], "actor", "side", columns)
+        assert want.count() == 18
+        for block in (1, 2, 64):
+            got = correlate.pairs(odd, ["day"], "actor", "side", columns, block)
+            assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    many = spark.range(3000).select((F.col("id") < 0).cast("int").alias("day"), F.col("id").alias("actor"), (F.col("id") % 2).alias("side"), (F.xxhash64("id") % 1000).cast("double").alias("v"))
+    by_task = [r["count"] for r in correlate.pairs(many, ["day"], "actor", "side", ["v"], 64).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(by_task) == 2 * 1500 * 1500 and max(by_task) * 2 < sum(by_task), by_task
+
+
+def test_pair_matrix_of_one_day(spark, tmp_path):
+    """Pairs of one day come from several tasks, and equal a fold."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    users, values = [rng.randrange(-50, 700) for _ in range(1500)], [rng.randrange(900) / 4 for _ in range(1500)]
+    at = pa.array([datetime.datetime(2024, 1, 1)] * 1500, pa.timestamp("us"))
+    pq.write_table(pa.table({"event_id": range(1500), "user_id": users, "value": values, "ts": at, "event_type": ["view"] * 1500, "props": ['{"k": 1}'] * 1500}), str(tmp_path / "events.parquet"))
+    total = Counter()
+    for a, v in zip(users, values, strict=True):
+        total[a] += v
+    side = {a: int(math.fmod(a, 2)) for a in total}
+    want = [(datetime.date(2024, 1, 1), a, b, total[a] >= total[b]) for a in total for b in total if side[a] != side[b]]
+    assert _rows(spark, str(tmp_path), "pair_matrix") == sorted(want)
+    assert QUERIES["pair_matrix"](spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_player_round_spine(spark, events, folder):
     n, total = Counter(), Counter()
     for _, day, actor, _, value, _ in events:
